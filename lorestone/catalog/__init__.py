@@ -1,6 +1,6 @@
 """Registered queries; importing the package loads all of them."""
 
-from . import text_queries
+from . import search_queries, text_queries
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "search_queries", "text_queries"]

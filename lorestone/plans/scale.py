@@ -19,6 +19,15 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def by_score(tie: str, score: str = "score") -> list[Column]:
+    """Highest score first; scores equal to nine digits are ordered by ``tie``.
+
+    Sums of the same terms differ in the last bits with the order of adding, so raw values would
+    order equal scores by chance.
+    """
+    return [F.desc(F.round(score, 9)), F.asc(tie)]
+
+
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_key(df, keys, order, 1, "_one").drop("_one")
 
