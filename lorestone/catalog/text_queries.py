@@ -386,7 +386,7 @@ def order_text_dates(spark, folder):
 
 @query(
     rf"""with p as (select event_id, text, unnest(list_transform(range(1, len(string_split(text, day))), lambda i:
-        (list_sum(list_transform(string_split(text, day)[:i], lambda x: length(x))) + (i - 1) * length(day))::bigint) as p0, day from {MEMO_SQL})
+        ((list_sum(list_transform(string_split(text, day)[:i], lambda x: length(x))) + (i - 1) * length(day))::bigint))) as p0, day from {MEMO_SQL})
     select event_id, day as date, {STRIP.format("substr(text, greatest(p0 - 50, 0) + 1, p0 + length(day) + 100 - greatest(p0 - 50, 0))")} as context from p"""
 )
 def date_contexts(spark, folder):

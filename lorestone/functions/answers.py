@@ -13,6 +13,7 @@ from . import fixed
 from .common import (
     extract_all,
     first_match,
+    let,
     overlap,
     rule_chain,
     spans,
@@ -36,16 +37,22 @@ def question_type(query: Column) -> Column:
 
 def _nearest(candidates: Column, text: Column, query: Column, reach: int = 80) -> Column:
     """First candidate with the most query words around it; NULL without candidates."""
-    tokens = words3(query)
-    scored = F.transform(
-        candidates,
-        lambda s, i: F.struct(
-            token_hits(tokens, F.lower(window_text(text, s["start"] - reach, s["stop"] + reach))).alias("n"),
-            (-i).alias("first"),
-            s["text"].alias("text"),
-        ),
-    )
-    return F.array_max(scored)["text"]
+
+
+    def scored(tokens):
+        return F.transform(
+            candidates,
+            lambda s, i: F.struct(
+                let(
+                    F.lower(window_text(text, s["start"] - reach, s["stop"] + reach)),
+                    lambda near: token_hits(tokens, near),
+                ).alias("n"),
+                (-i).alias("first"),
+                s["text"].alias("text"),
+            ),
+        )
+
+    return F.array_max(let(words3(query), scored))["text"]
 
 
 def date_answer(text: Column, query: Column | None = None) -> Column:
@@ -67,75 +74,91 @@ def percentage_answer(text: Column) -> Column:
 
 
 def name_answer(text: Column, query: Column) -> Column:
-    full = spans(text, FULL_NAME)
-    tokens = words3(query)
-    single = F.filter(
-        spans(text, r"(?U)\b[A-Z][a-z]{2,}\b"),
-        lambda s: token_hits(
-            tokens, F.lower(window_text(text, s["start"] - 50, s["start"] + 50))
-        ) > 0,
+    single = let(
+        words3(query),
+        lambda tokens: F.filter(
+            spans(text, r"(?U)\b[A-Z][a-z]{2,}\b"),
+            lambda s: let(
+                F.lower(window_text(text, s["start"] - 50, s["start"] + 50)),
+                lambda near: token_hits(tokens, near) > 0,
+            ),
+        ),
     )
-    return _nearest(F.when(F.size(full) > 0, full).otherwise(single), text, query)
+    full = spans(text, FULL_NAME)
+    return _nearest(let(full, lambda f: F.when(F.size(f) > 0, f).otherwise(single)), text, query)
 
 
 def yes_no_answer(text: Column, query: Column) -> Column:
     """No when more query words stand near a negation than do not."""
-    low = F.lower(text)
     marks = str_array(fixed.NEGATION_MARKERS)
-    votes = F.transform(
-        F.filter(F.array_distinct(extract_all(F.lower(query), r"(?U)\w{3,}")), lambda t: low.contains(t)),
-        lambda t: F.when(
-            F.exists(
-                marks,
-                lambda m: window_text(low, F.instr(low, t) - 41, F.instr(low, t) + 39).contains(m),
+    words = F.array_distinct(extract_all(F.lower(query), r"(?U)\w{3,}"))
+
+    def votes(low):
+        return F.transform(
+            F.filter(words, lambda t: low.contains(t)),
+            lambda t: let(
+                window_text(low, F.instr(low, t) - 41, F.instr(low, t) + 39),
+                lambda near: F.when(F.exists(marks, lambda m: near.contains(m)), 1).otherwise(-1),
             ),
-            1,
-        ).otherwise(-1),
-    )
-    total = F.aggregate(votes, F.lit(0), lambda a, v: a + v)
+        )
+
+    total = F.aggregate(let(F.lower(text), votes), F.lit(0), lambda a, v: a + v)
     return F.when(total > 0, "No").otherwise("Yes")
 
 
 def proximity_score(text: Column, start: Column, stop: Column, tokens: Column) -> Column:
     """Distance-weighted count of token occurrences within 60 characters."""
     low = F.greatest(start - 60, F.lit(0))
-    window = F.lower(window_text(text, low, stop + 60))
-    places = F.sequence(F.lit(1), F.greatest(F.length(window), F.lit(1)))
 
-    def token_score(total, t):
-        n = F.length(t)
+    def total(window):
+        places = F.sequence(F.lit(1), F.greatest(F.length(window), F.lit(1)))
+
+        def token_score(acc, t):
+            found = F.filter(places, lambda p: F.substring(window, p, F.length(t)) == t)
 
-        def at(acc, p):
-            begin = low + p - 1
-            gap = F.greatest(F.lit(0), start - (begin + n), begin - stop)
-            return acc + F.when(F.substring(window, p, n) == t, 1.0 / (1.0 + gap / 20.0)).otherwise(0.0)
+            def add(sum_, p):
+                begin = low + p - 1
+                gap = F.greatest(F.lit(0), start - (begin + F.length(t)), begin - stop)
+                return sum_ + 1.0 / (1.0 + gap / 20.0)
 
-        return total + F.aggregate(places, F.lit(0.0), at)
+            here = F.filter(F.array(t), lambda x: window.contains(x))
+            return acc + F.when(F.size(here) > 0, F.aggregate(found, F.lit(0.0), add)).otherwise(0.0)
 
-    return F.aggregate(tokens, F.lit(0.0), token_score)
+        return F.aggregate(tokens, F.lit(0.0), token_score)
+
+    return let(F.lower(window_text(text, low, stop + 60)), total)
 
 
 def duration_answer(text: Column, query: Column) -> Column:
     """Time between the two dates closest to the query words; NULL below two dates."""
-    tokens = words3(query)
-    dates = F.filter(
-        F.transform(
-            spans(text, r"(?U)\b\d{4}-\d{2}-\d{2}\b"),
-            lambda s, i: F.struct(
-                (-proximity_score(text, s["start"], s["stop"], tokens)).alias("rank"),
-                i.alias("i"),
-                F.try_to_date(s["text"], "yyyy-MM-dd").alias("day"),
+
+    def ranked(tokens):
+        return F.filter(
+            F.transform(
+                spans(text, r"(?U)\b\d{4}-\d{2}-\d{2}\b"),
+                lambda s, i: F.struct(
+                    (-proximity_score(text, s["start"], s["stop"], tokens)).alias("rank"),
+                    i.alias("i"),
+                    F.try_to_date(s["text"], "yyyy-MM-dd").alias("day"),
+                ),
             ),
-        ),
-        lambda x: x["day"].isNotNull(),
+            lambda x: x["day"].isNotNull(),
+        )
+
+    def pair(best):
+        one, two = F.get(best, F.lit(0)), F.get(best, F.lit(1))
+        near = (one["rank"] < 0) & (two["rank"] < 0) & (one["day"] != two["day"])
+        days = F.transform(best, lambda x: x["day"])
+        return F.struct(
+            F.when(near, F.least(one["day"], two["day"])).otherwise(F.array_min(days)).alias("first"),
+            F.when(near, F.greatest(one["day"], two["day"])).otherwise(F.array_max(days)).alias("last"),
+            F.size(best).alias("n"),
+        )
+
+    ends = let(F.array_sort(let(words3(query), ranked)), pair)
+    return let(
+        ends, lambda e: F.when(e["n"] >= 2, duration_text(e["first"], e["last"], query))
     )
-    best = F.array_sort(dates)
-    one, two = F.get(best, F.lit(0)), F.get(best, F.lit(1))
-    near = (one["rank"] < 0) & (two["rank"] < 0) & (one["day"] != two["day"])
-    days = F.transform(dates, lambda x: x["day"])
-    first = F.when(near, F.least(one["day"], two["day"])).otherwise(F.array_min(days))
-    last = F.when(near, F.greatest(one["day"], two["day"])).otherwise(F.array_max(days))
-    return F.when(F.size(dates) >= 2, duration_text(first, last, query))
 
 
 def months_apart(first: Column, last: Column) -> Column:
@@ -209,13 +232,14 @@ def answer_candidates(query: Column, text: Column) -> Column:
 
 def best_sentence(query: Column, text: Column) -> Column:
     """First sentence sharing the most words with the query; NULL when none does."""
-    tokens = words3(query)
-    scored = F.transform(
-        F.split(text, r"(?U)(?<=[.!?])\s+", -1),
-        lambda s, i: F.struct(overlap(tokens, words3(s)).alias("n"), (-i).alias("i"), s.alias("s")),
+    scored = let(
+        words3(query),
+        lambda tokens: F.transform(
+            F.split(text, r"(?U)(?<=[.!?])\s+", -1),
+            lambda s, i: F.struct(overlap(tokens, words3(s)).alias("n"), (-i).alias("i"), s.alias("s")),
+        ),
     )
-    top = F.array_max(scored)
-    return F.when(top["n"] > 0, top["s"])
+    return let(F.array_max(scored), lambda top: F.when(top["n"] > 0, top["s"]))
 
 
 # ---- comparing answers ------------------------------------------------------------------

@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate an expression once per row and use it several times in ``body``.
+
+    Inside array functions a repeated sub-expression is evaluated again for every element; a bound
+    variable is not.
+    """
+    return F.get(F.transform(F.array(value), lambda x: body(x)), F.lit(0))
+
+
 def strip(c: Column) -> Column:
     """Remove white space, including line ends, from both sides."""
     return F.regexp_replace(c, r"(?U)^\s+|\s+$", "")
@@ -50,9 +60,11 @@ def overlap(a: Column, b: Column) -> Column:
 
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct values; 0 when both are empty."""
-    common = overlap(a, b)
-    union = F.size(a) + F.size(b) - common
-    return F.when(union > 0, common / union).otherwise(F.lit(0.0))
+    def ratio(common):
+        union = F.size(a) + F.size(b) - common
+        return F.when(union > 0, common / union).otherwise(F.lit(0.0))
+
+    return let(overlap(a, b), ratio)
 
 
 def spans(c: Column, pattern: str) -> Column:
@@ -61,30 +73,25 @@ def spans(c: Column, pattern: str) -> Column:
     The text between the matches and the matches themselves tile the input, so running sums of
     their lengths are the offsets.
     """
-    hits = extract_all(c, pattern)
-    gaps = F.split(c, pattern, -1)
     none = F.array().cast("array<struct<text:string,start:int,stop:int>>")
-    folded = F.aggregate(
-        F.arrays_zip(gaps.alias("gap"), hits.alias("hit")),
-        F.struct(F.lit(0).alias("at"), none.alias("out")),
-        lambda acc, x: F.when(x["hit"].isNull(), acc).otherwise(
-            F.struct(
-                (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("at"),
-                F.concat(
-                    acc["out"],
-                    F.array(
-                        F.struct(
-                            x["hit"].alias("text"),
-                            (acc["at"] + F.length(x["gap"])).alias("start"),
-                            (acc["at"] + F.length(x["gap"]) + F.length(x["hit"])).alias("stop"),
-                        )
-                    ),
-                ).alias("out"),
-            )
-        ),
-        lambda acc: acc["out"],
-    )
-    return F.when(F.size(hits) == 0, none).otherwise(folded)
+
+    def add(acc, x):
+        start = acc["at"] + F.length(x["gap"])
+        stop = start + F.length(x["hit"])
+        span = F.struct(x["hit"].alias("text"), start.alias("start"), stop.alias("stop"))
+        grown = F.struct(stop.alias("at"), F.concat(acc["out"], F.array(span)).alias("out"))
+        return F.when(x["hit"].isNull(), acc).otherwise(grown)
+
+    def tile(hits):
+        folded = F.aggregate(
+            F.arrays_zip(F.split(c, pattern, -1).alias("gap"), hits.alias("hit")),
+            F.struct(F.lit(0).alias("at"), none.alias("out")),
+            add,
+            lambda acc: acc["out"],
+        )
+        return F.when(F.size(hits) == 0, none).otherwise(folded)
+
+    return let(extract_all(c, pattern), tile)
 
 
 def window_text(c: Column, start: Column, stop: Column) -> Column:
