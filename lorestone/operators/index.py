@@ -42,6 +42,15 @@ def build_paragraphs(documents: DataFrame, code_types: tuple[str, ...] = ("code"
     )
 
 
+def unnest(array: str | Column, name: str) -> Column:
+    """Outer explode, to be followed by a not-null filter.
+
+    A plain explode makes the optimizer test ``size(array) > 0`` below it, which would tokenize
+    every text a second time.
+    """
+    return F.explode_outer(array).alias(name)
+
+
 def placed(paragraphs: DataFrame) -> DataFrame:
     """Paragraphs hash-partitioned by their id.
 
@@ -57,8 +66,11 @@ def postings(paragraphs: DataFrame, wanted: DataFrame | None = None) -> DataFram
 
     The length of a paragraph is its number of distinct tokens.
     """
-    rows = paragraphs.select("para_id", T.index_tokens(F.col("text")).alias("_t")).select(
-        "para_id", F.size(F.array_distinct("_t")).alias("n_unique"), F.explode("_t").alias("token")
+    rows = (
+        paragraphs.select("para_id", T.index_tokens(F.col("text")).alias("_t"))
+        .select("para_id", F.size(F.array_distinct("_t")).alias("n_unique"), "_t")
+        .select("para_id", "n_unique", unnest("_t", "token"))
+        .where("token is not null")
     )
     if wanted is not None:
         rows = rows.join(wanted, "token", "left_semi")
@@ -105,14 +117,13 @@ def bm25_scores(
     """
     asked = query_tokens(queries)
     wanted = asked.select("token").distinct()
-    stats = corpus_stats(paragraphs)
-    # document frequency needs no partitioning by paragraph: it is pre-aggregated where it is read
-    seen = paragraphs.select(F.explode(T.note_tokens(F.col("text"))).alias("token")).join(
-        wanted, "token", "left_semi"
-    )
-    weights = asked.join(token_stats(seen, stats), "token").select("query_id", "token", "idf")
-    corpus = paragraphs if candidates is None else paragraphs.where(candidates)
-    posts = postings(placed(corpus.select("para_id", "text")), wanted)
+    scored = F.lit(True) if candidates is None else candidates
+    # one shuffle of the text feeds the statistics, the frequencies and the scores
+    corpus = placed(paragraphs.select("para_id", "text", scored.alias("scored")))
+    stats = corpus_stats(corpus)
+    frequent = token_stats(postings(corpus, wanted), stats)
+    weights = asked.join(frequent, "token").select("query_id", "token", "idf")
+    posts = postings(corpus if candidates is None else corpus.where("scored"), wanted)
     tf = F.lit(1.0) if tf_one else F.col("tf")
     weight = bm25_weight(F.col("idf"), tf, F.col("n_unique"), stats.select("avg_len").scalar())
     return posts.join(weights, "token").groupBy("query_id", "para_id").agg(F.sum(weight).alias("score"))
@@ -176,9 +187,9 @@ def trace_term_counts(traces: DataFrame, wanted: DataFrame | None = None) -> Dat
     body, name = T.trace_tokens(F.col("text")), T.trace_tokens(_spaced(F.col("name")))
     rows = traces.select("trace_id", body.alias("_b"), name.alias("_n"))
     terms = lambda c: F.concat(F.col(c), T.bigrams(F.col(c)))
-    parts = rows.select("trace_id", F.explode(terms("_b")).alias("term"), F.lit(1).alias("w")).unionByName(
-        rows.select("trace_id", F.explode(terms("_n")).alias("term"), F.lit(3).alias("w"))
-    )
+    parts = rows.select("trace_id", unnest(terms("_b"), "term"), F.lit(1).alias("w")).unionByName(
+        rows.select("trace_id", unnest(terms("_n"), "term"), F.lit(3).alias("w"))
+    ).where("term is not null")
     if wanted is not None:
         parts = parts.join(wanted, "term", "left_semi")
     return parts.groupBy("trace_id", "term").agg(F.sum("w").alias("tf"))
@@ -187,8 +198,10 @@ def trace_term_counts(traces: DataFrame, wanted: DataFrame | None = None) -> Dat
 def trace_idf(traces: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     """(term, idf) over distinct tokens and bigrams of the text followed by the name."""
     joined = T.trace_tokens(F.concat(F.col("text"), F.lit(" "), _spaced(F.col("name"))))
-    terms = traces.select(joined.alias("_t")).select(
-        F.explode(F.array_distinct(F.concat("_t", T.bigrams(F.col("_t"))))).alias("term")
+    terms = (
+        traces.select(joined.alias("_t"))
+        .select(unnest(F.array_distinct(F.concat("_t", T.bigrams(F.col("_t")))), "term"))
+        .where("term is not null")
     )
     if wanted is not None:
         terms = terms.join(wanted, "term", "left_semi")
@@ -208,6 +221,7 @@ def tfidf_scores(traces: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, trace_id, kw_score): mean of (1 + ln tf) * idf over the query terms."""
     asked = query_terms(queries)
     wanted = asked.select("term").distinct()
+    traces = traces.select("trace_id", "name", "text").repartition("trace_id")
     weights = asked.join(trace_idf(traces, wanted), "term")
     counts = trace_term_counts(traces, wanted)
     part = (1.0 + F.log(F.col("tf"))) * F.col("idf") / F.col("n_terms")

@@ -13,7 +13,7 @@ from ..functions import text as T
 from ..functions.common import contains_any
 from ..functions.vectors import dot
 from ..plans.scale import best_per_key, by_score, top_per_key
-from .index import bm25_scores, placed
+from .index import bm25_scores, placed, unnest
 
 
 def structured_filter(
@@ -330,7 +330,11 @@ def token_share_search(items: DataFrame, queries: DataFrame, k: int, tokens=T.no
     asked = queries.select("query_id", tokens(F.col("query")).alias("_q")).select(
         "query_id", F.size("_q").alias("n_q"), F.explode(F.array_distinct("_q")).alias("token")
     )
-    rows = items.select("item_id", F.explode(F.array_distinct(tokens(F.col("text")))).alias("token"))
+    rows = (
+        items.select("item_id", "text").repartition("item_id")
+        .select("item_id", unnest(F.array_distinct(tokens(F.col("text"))), "token"))
+        .where("token is not null")
+    )
     hits = rows.join(asked, "token").groupBy("query_id", "item_id").agg(
         (F.count("*") / F.first("n_q")).alias("score")
     )
