@@ -1,6 +1,6 @@
 """Registered queries; importing the package loads all of them."""
 
-from . import fact_queries, search_queries, text_queries
+from . import fact_queries, note_queries, search_queries, text_queries
 from .base import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "fact_queries", "search_queries", "text_queries"]
+__all__ = ["ORACLES", "QUERIES", "fact_queries", "note_queries", "search_queries", "text_queries"]

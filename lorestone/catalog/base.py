@@ -77,7 +77,9 @@ MEMO = {
     "body": _SENTENCES,
     "text": f"concat('# Note ', event_id, chr(10), chr(10), {_SENTENCES}, chr(10), chr(10), "
             f"'- The plan for ', {_CITY}, ' is to reuse the gpu daemon with ', {_WHO}, '.', chr(10), "
-            f"'- Contact ', lower({_WHO}), '.x@example.com or 555-010-', 1000 + {_N}, ' about it.')",
+            f"'- Contact ', lower({_WHO}), '.x@example.com or 555-010-', 1000 + {_N}, ' about it.', "
+            f"case event_type when 'error' then concat(chr(10), '- The ', {_CITY}, ' bug broke the cache, a patch by ', {_WHO}, ' will resolve v1.', {_N} % 5, '.') "
+            f"when 'click' then concat(chr(10), '- A better approach works for ', {_CITY}, ' with ', {_N}, ' shards.') else '' end)",
     "question": f"""case event_id % 8
  when 0 then concat('When did ', {_WHO}, ' move to ', {_CITY}, '?')
  when 1 then concat('How many pages did ', {_WHO}, ' Books sell in ', {_CITY}, '?')
