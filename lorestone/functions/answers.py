@@ -329,7 +329,7 @@ def normalize_number(c: Column) -> Column:
 def split_confidence(c: Column) -> Column:
     """struct<answer, confidence>: a trailing rating line is cut off and clamped to [0, 1]."""
     rating = first_match(c, fixed.CONFIDENCE_LINE, 1).try_cast("double")
-    clamped = F.greatest(F.lit(0.0), F.least(F.lit(1.0), rating))
+    clamped = F.when(rating.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), rating)))
     cleaned = strip(F.regexp_replace(c, fixed.CONFIDENCE_LINE, ""))
     return F.struct(cleaned.alias("answer"), clamped.alias("confidence"))
 

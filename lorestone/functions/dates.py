@@ -273,7 +273,7 @@ def date_phase(day: Column) -> Column:
 
 def trace_tier(modified: Column, now: Column) -> Column:
     """hot up to 24 hours, warm up to 7 days, else cold."""
-    hours = (F.unix_micros(now) - F.unix_micros(modified)) / 3.6e9
+    hours = (F.unix_micros(now.cast("timestamp")) - F.unix_micros(modified.cast("timestamp"))) / 3.6e9
     return F.when(hours <= 24, "hot").when(hours <= 168, "warm").otherwise("cold")
 
 

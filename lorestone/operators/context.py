@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import fixed
 from ..functions.common import extract_all, iso_date, strip, str_array
-from ..plans.scale import best_per_key, top_per_key
+from ..plans.scale import best_per_key, ranked, top_per_key
 
 
 def rank_sessions(results: DataFrame) -> DataFrame:
     """(query_id, session_idx, session_rank): sessions by their best result."""
     best = results.groupBy("query_id", "session_idx").agg(F.min("rank").alias("best"))
-    return top_per_key(best, ["query_id"], [F.asc("best"), F.asc("session_idx")], 1000, "session_rank")
+    return ranked(best, ["query_id"], [F.asc("best"), F.asc("session_idx")], "session_rank")
 
 
 def _greedy(items: Column, budget: int, cost: str) -> Column:
@@ -45,9 +45,9 @@ def select_sessions(
 
     ``session_sizes`` has query_id, session_idx and n_chars of the rendered session.
     """
-    ranked = rank_sessions(results).join(session_sizes, ["query_id", "session_idx"])
+    known = rank_sessions(results).join(session_sizes, ["query_id", "session_idx"])
     # sessions that are unknown give up their place
-    placed = top_per_key(ranked, ["query_id"], [F.asc("session_rank")], 1000, "place")
+    placed = ranked(known, ["query_id"], [F.asc("session_rank")], "place")
     head = placed.where(F.col("place") <= max_sessions).select(
         "query_id", "session_idx", "place", (F.col("n_chars") + 2).alias("cost")
     )
@@ -79,6 +79,9 @@ def statement_key(text: Column) -> Column:
     return F.regexp_replace(flat, r"^[ .,:;\-]+|[ .,:;\-]+$", "")
 
 
+LEAN_HEADER = "OBSERVATIONS (lean, deduplicated, newest first; [superseded] = no longer valid):"
+
+
 def lean_context(
     facts: DataFrame, max_observations: int = 40, char_budget: int = 8000, drop_superseded: bool = False
 ) -> DataFrame:
@@ -86,7 +89,7 @@ def lean_context(
 
     Repeated statements keep the most confident one, the earlier on a tie.
     """
-    header = 80
+    header = len(LEAN_HEADER)
     clean = F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " ")
     rows = facts.select(
         "scope", "fact_idx", "confidence", statement_key(F.col("text")).alias("key"), clean.alias("text"),
@@ -180,7 +183,7 @@ def fit_context(sections: DataFrame, budget: int, keys: tuple[str, ...] = ("cont
     kept = sections.where(strip(F.col("content")) != "")
     if budget <= 0:
         return kept.select(*keys, "pos", "content")
-    head = top_per_key(kept, list(keys), [F.asc("pos")], min(budget // 3 + 2, 1000), "place")
+    head = top_per_key(kept, list(keys), [F.asc("pos")], budget // 3 + 2, "place")
     items = head.groupBy(*keys).agg(
         F.array_sort(F.collect_list(F.struct("place", "pos", "content"))).alias("items")
     )

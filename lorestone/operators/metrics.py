@@ -205,7 +205,7 @@ def pareto_frontier(points: DataFrame, group: str = "benchmark") -> DataFrame:
             yield rows
 
     survivors = settle(live.mapInPandas(local, live.schema))
-    parts = survivors.rdd.getNumPartitions()
+    parts = (survivors.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
     while parts > 1:
         parts = max(1, parts // 8)
         survivors = settle(survivors.coalesce(parts).mapInPandas(local, live.schema))
@@ -421,7 +421,7 @@ def hub_graph(edges: DataFrame, top: int = 20, per_hub: int = 5) -> DataFrame:
 
     peak = edges.agg(F.max("weight")).scalar()
     scaled = edges.select("src", "dst", (F.col("weight") / peak).alias("weight"))
-    hubs = scaled.groupBy("src").agg(F.sum("weight").alias("strength")).orderBy(F.desc("strength"), "src").limit(top)
+    hubs = scaled.groupBy("src").agg(F.round(F.sum("weight"), 9).alias("strength")).orderBy(F.desc("strength"), "src").limit(top)
     own = scaled.join(hubs.select("src"), "src", "left_semi").where("src <> dst and weight >= 0.001")
     return top_per_key(own, ["src"], [F.desc("weight"), F.asc("dst")], per_hub).select(
         F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst"), F.round("weight", 4).alias("weight")

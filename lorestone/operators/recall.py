@@ -9,7 +9,7 @@ from ..functions import text as T
 from ..functions.common import extract_all, strip
 from ..plans.graph import both_ways
 from ..plans.ordered import row_index
-from ..plans.scale import best_per_key, top_per_key
+from ..plans.scale import best_per_key, ranked, top_per_key
 from .search import entities_in_text, token_share_search
 
 
@@ -93,7 +93,7 @@ def cross_project(asked: DataFrame, entities: DataFrame, relations: DataFrame, k
 def entities_of_query(queries: DataFrame, entities: DataFrame) -> DataFrame:
     """(query_id, entity, place): entities named in each query, in id order."""
     found = entities_in_text(queries, "query_id", F.col("query"), entities)
-    return top_per_key(found, ["query_id"], [F.asc("id")], 1000).select(
+    return ranked(found, ["query_id"], [F.asc("id")]).select(
         "query_id", F.col("id").alias("entity"), (F.col("rank") - 1).alias("place")
     )
 
@@ -125,8 +125,8 @@ def deep_recall(
     texts = queries.select("query_id", "query").unionByName(
         best.join(traces.select(F.col("name").alias("trace"), "text"), "trace").select("query_id", F.col("text").alias("query"))
     )
-    asked = top_per_key(
-        entities_in_text(texts, "query_id", F.col("query"), entities).distinct(), ["query_id"], [F.asc("id")], 1000
+    asked = ranked(
+        entities_in_text(texts, "query_id", F.col("query"), entities).distinct(), ["query_id"], [F.asc("id")]
     ).select("query_id", F.col("id").alias("entity"), (F.col("rank") - 1).alias("place"))
     lists = lambda df, item, out: df.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).cast("string").alias("v")))), lambda x: x["v"]).alias(out)

@@ -19,6 +19,11 @@ def top_per_key(
     return df.withColumn(rank, F.row_number().over(w)).where(F.col(rank) <= k)
 
 
+def ranked(df: DataFrame, keys: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """Rank all rows per key; for keys whose rows are a result list."""
+    return df.withColumn(rank, F.row_number().over(W.partitionBy(*keys).orderBy(*order)))
+
+
 def by_score(tie: str, score: str = "score") -> list[Column]:
     """Highest score first; scores equal to nine digits are ordered by ``tie``.
 
