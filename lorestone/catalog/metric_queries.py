@@ -390,8 +390,8 @@ def egress_audit(spark, folder):
 
 
 @query(
-    f"""with {CURVE}, {AURC}, {LEDGER_SQL} select accuracy, aurc, (select count(*) from events where event_id % 6 in (1, 3, 4)) as cloud_calls,
-      (select round(count(*) filter (found and was_correct) / count(*) filter (found and was_correct is not null), 4) from m) as fleet_accuracy from au"""
+    f"""with {CURVE}, {AURC} select accuracy, aurc, (select count(*) from events where event_id % 6 in (1, 3, 4)) as cloud_calls,
+      (with {LEDGER_SQL} select round(count(*) filter (found and was_correct) / count(*) filter (found and was_correct is not null), 4) from m) as fleet_accuracy from au"""
 )
 def run_scorecard(spark, folder):
     fleet = L.fleet_score(L.merge_ledger(ledger_rows(spark, folder))).select("fleet_accuracy")
@@ -415,7 +415,7 @@ def provenance_nodes(spark, folder):
 
 
 @query(
-    """select count(distinct s) as stages, count(*) as artifacts, (select epoch_us(max(ts)) / 1e6 from events where event_type = 'click') - (select epoch_us(max(ts)) / 1e6 from events where event_type = 'view') as drift_seconds,
+    """select count(distinct s) as stages, count(*) as artifacts, round((select epoch_us(max(ts)) / 1e6 from events where event_type = 'click') - (select epoch_us(max(ts)) / 1e6 from events where event_type = 'view'), 3) as drift_seconds,
       ((select epoch_us(max(ts)) / 1e6 from events where event_type = 'click') - (select epoch_us(max(ts)) / 1e6 from events where event_type = 'view')) > 604800 as stale
       from (select case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end as s from events)"""
 )
@@ -423,7 +423,7 @@ def pipeline_freshness(spark, folder):
     e = table(spark, folder, "events").select(
         F.expr("case event_type when 'click' then 0 when 'error' then 1 when 'purchase' then 2 when 'signup' then 3 else 4 end").alias("stage_pos"), F.col("ts").cast("timestamp").alias("modified")
     )
-    return L.pipeline_freshness(e)
+    return L.pipeline_freshness(e).withColumn("drift_seconds", F.round("drift_seconds", 3))
 
 
 @query("select o_orderkey from orders where o_orderkey not in (select l_orderkey from lineitem where l_returnflag = 'R')")

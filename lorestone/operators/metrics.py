@@ -205,7 +205,7 @@ def pareto_frontier(points: DataFrame, group: str = "benchmark") -> DataFrame:
             yield rows
 
     survivors = settle(live.mapInPandas(local, live.schema))
-    parts = (survivors.agg(F.max(F.spark_partition_id())).first()[0] or 0) + 1
+    parts = (survivors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
     while parts > 1:
         parts = max(1, parts // 8)
         survivors = settle(survivors.coalesce(parts).mapInPandas(local, live.schema))

@@ -11,6 +11,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions.common import contains_any, let, overlap, rule_chain, str_array, strip
 from ..plans.scale import best_per_key, by_score, top_per_key
+from ..session import settle
 from .index import tfidf_scores, trace_idf, unnest
 from .search import entities_in_text
 
@@ -95,6 +96,8 @@ def retrieve(
             "score", F.round(F.col("raw") + w["embedding"] * zero("similarity") * D.tier_weight(F.col("tier")), 4)
         ).drop("similarity")
         scored = scored.join(head.select("query_id", "trace_id"), ["query_id", "trace_id"], "left_anti").unionByName(lifted)
+    # the first pass is read again for the weak queries and for the final ranking
+    scored = settle(scored)
     best = queries.select("query_id", "query").join(
         scored.groupBy("query_id").agg(F.max("score").alias("best")), "query_id"
     )
