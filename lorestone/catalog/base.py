@@ -27,8 +27,32 @@ def query(sql: str | None = None, name: str | None = None) -> Callable[[Runner],
     return register
 
 
+#: key columns of the tables that grow
+KEYS = {
+    "events": "event_id", "documents": "doc_id", "orders": "o_orderkey", "lineitem": "l_orderkey",
+    "part": "p_partkey", "conversations": "conv_id", "embeddings": "vec_id",
+}
+
+
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    """A table, spread over the cores when its files make fewer scan tasks than there are cores.
+
+    Large tables have many row groups and are read as they are.
+    """
+    df = spark.read.parquet(f"{folder}/{name}.parquet")
+    cores = spark.sparkContext.defaultParallelism
+    if name not in KEYS or _scan_tasks(df, cores) >= cores:
+        return df
+    return df.repartition(cores, KEYS[name])
+
+
+def _scan_tasks(df: DataFrame, enough: int) -> int:
+    """Upper bound of the scan tasks from the number and size of the files."""
+    files = df.inputFiles()
+    if len(files) >= enough:
+        return len(files)
+    total = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return len(files) + total // (128 << 20)
 
 
 def derive(df: DataFrame, columns: dict[str, str]) -> DataFrame:

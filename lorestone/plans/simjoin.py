@@ -7,6 +7,8 @@ share a rare value meet.  Equal sets are folded into one before anything is comp
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,9 +23,11 @@ def distinct_sets(df: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame,
     The representative is the smallest id.  Grouping by a digest keeps long sets out of the shuffle
     and a large group of copies is pre-aggregated on the map side.
     """
-    keyed = df.select(
-        F.col(id_col).alias("id"), F.array_sort(F.array_distinct(set_col)).alias("items")
-    ).withColumn("digest", F.sha2(F.array_join("items", "\u0001"), 256))
+    keyed = settle(
+        df.select(F.col(id_col).alias("id"), F.array_sort(F.array_distinct(set_col)).alias("items")).withColumn(
+            "digest", F.sha2(F.array_join("items", "\u0001"), 256)
+        )
+    )
     reps = keyed.groupBy("digest").agg(F.min("id").alias("rep"))
     members = keyed.select("id", "digest").join(reps, "digest").select("id", "rep")
     sets = (
@@ -35,7 +39,11 @@ def distinct_sets(df: DataFrame, id_col: str, set_col: str) -> tuple[DataFrame,
 
 
 def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(rep, value) rows of the rare-first prefix of every set."""
+    """(rep, value) rows of the rare-first prefix of every set, split by size.
+
+    Similar sets differ in size by at most the factor 1 / t, so each value is paired with the size
+    class of the set and the next one; sets of very different size never meet.
+    """
     values = sets.select("rep", F.size("items").alias("n"), F.explode("items").alias("value"))
     freq = values.groupBy("value").agg(F.count("*").alias("df"))
     # n - ceil(t n) + 1, guarded against t n being stored a hair above a whole number
@@ -43,8 +51,11 @@ def prefixes(sets: DataFrame, threshold: float) -> DataFrame:
     ranked = values.join(freq, "value").groupBy("rep", "n").agg(
         F.array_sort(F.collect_list(F.struct("df", "value"))).alias("ordered")
     )
-    return ranked.select("rep", F.explode(F.slice("ordered", F.lit(1), keep.cast("int"))).alias("x")).select(
-        "rep", F.col("x.value").alias("value")
+    band = F.floor(F.log(F.col("n").cast("double")) / math.log(1.0 / threshold) + 1e-9)
+    return ranked.select(
+        "rep", F.explode(F.array(band, band + 1)).alias("band"), F.slice("ordered", F.lit(1), keep.cast("int")).alias("xs")
+    ).select("rep", "band", F.explode("xs").alias("x")).select(
+        "rep", F.concat_ws("\u0001", F.col("band").cast("string"), "x.value").alias("value")
     )
 
 
@@ -57,20 +68,25 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float, strict: bool)
     return full.where((F.col("similarity") > threshold) if strict else (F.col("similarity") >= threshold))
 
 
-def leaders(df: DataFrame, id_col: str, set_col: str, threshold: float, max_rounds: int = 12) -> DataFrame:
+def leaders(df: DataFrame, id_col: str, set_col: str, threshold: float) -> DataFrame:
     """Greedy first-come clustering: (id, leader, similarity) for every row.
 
     Going through the ids in order, a row joins the most similar earlier leader when the similarity
-    is above the threshold, and becomes a leader otherwise.  The leaders are found in rounds: a set
-    that is the smallest open one in all its prefix blocks has no open earlier neighbour, so it is
-    a leader; the open sets that are similar to it are members.  Each round compares a block with
-    one leader, never a block with itself.
+    is above the threshold, and becomes a leader otherwise.  While some prefix blocks are large, the
+    leaders are found in rounds: a set that is the smallest open one in all its blocks has no open
+    earlier neighbour, so it is a leader; the open sets that are similar to it are members.  Such a
+    round compares a block with one leader, never with itself, and a family of near copies is gone
+    after one of them.  Once the blocks are small, their pairs are listed and the rest is settled.
     """
     members, sets = distinct_sets(df, id_col, set_col)
     sets = settle(sets)
     blocks = settle(prefixes(sets, threshold))
-    open_blocks, found, rounds = blocks, None, 0
+    open_blocks, found, slow = blocks, None, False
     while True:
+        if slow or _pairs_affordable(open_blocks):
+            rest = _leaders_of_rest(open_blocks, sets, threshold)
+            found = rest if found is None else found.unionByName(rest)
+            break
         smallest = open_blocks.groupBy("value").agg(F.min("rep").alias("low"))
         marked = open_blocks.join(smallest, "value")
         heads = marked.groupBy("rep").agg(F.min((F.col("rep") == F.col("low")).cast("int")).alias("all_low"))
@@ -88,12 +104,8 @@ def leaders(df: DataFrame, id_col: str, set_col: str, threshold: float, max_roun
         )
         found = decided if found is None else found.unionByName(decided)
         open_blocks = settle(open_blocks.join(decided, "rep", "left_anti"))
-        rounds += 1
-        if open_blocks.isEmpty():
-            break
-        if rounds == max_rounds:
-            found = found.unionByName(_leaders_of_rest(open_blocks, sets, threshold))
-            break
+        # blocks of mutually dissimilar sets do not shrink in rounds; their pairs are listed instead
+        slow = decided.count() * 64 < open_blocks.select("rep").distinct().count()
     lead = found.where("is_leader").select("rep")
     rest = found.where("not is_leader").select("rep")
     # every member meets only leaders, which are dissimilar to each other
@@ -114,8 +126,15 @@ def leaders(df: DataFrame, id_col: str, set_col: str, threshold: float, max_roun
     )
 
 
+def _pairs_affordable(open_blocks: DataFrame, factor: int = 64) -> bool:
+    """Whether listing the pairs of all blocks costs at most ``factor`` rows per block row."""
+    sizes = open_blocks.groupBy("value").agg(F.count("*").cast("double").alias("n"))
+    one = sizes.agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+    return one["rows"] is None or one["pairs"] <= factor * one["rows"]
+
+
 def _leaders_of_rest(open_blocks: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
-    """Exact finish for blocks of many mutually dissimilar sets.
+    """Exact finish over small blocks.
 
     The similar pairs among the still open sets are listed once, then a set is settled as soon as
     all its earlier neighbours are.
