@@ -111,8 +111,8 @@ def _sentences_sql(column: str) -> str:
 )
 def paragraph_units(spark, folder):
     units = table(spark, folder, "documents").select(
-        "doc_id", F.posexplode(T.split_paragraphs(F.col("text"))).alias("para_idx", "unit")
-    )
+        "doc_id", F.posexplode_outer(T.split_paragraphs(F.col("text"))).alias("para_idx", "unit")
+    ).where("unit is not null")
     return units.select("doc_id", "para_idx", F.md5("unit").alias("unit_md5"), F.length("unit").alias("n_chars"))
 
 
@@ -169,7 +169,7 @@ def fact_types(spark, folder):
     s = F.col("s")
     return (
         memo(spark, folder)
-        .select("event_id", F.posexplode(T.fact_sentences(F.col("body"))).alias("pos", "s"))
+        .select("event_id", F.posexplode_outer(T.fact_sentences(F.col("body"))).alias("pos", "s")).where("s is not null")
         .select("event_id", "pos", T.classify_fact(s).alias("fact_type"), T.has_change_verb(s).alias("supersedes"))
     )
 
@@ -278,8 +278,8 @@ def relation_sql(between: str, default: str) -> str:
 )
 def entity_relations(spark, folder):
     c = F.col("text")
-    rows = memo(spark, folder).select("event_id", F.inline(T.extract_relations(c, T.trace_entities(c))))
-    return rows.select("event_id", "source", "target", "relation")
+    rows = memo(spark, folder).select("event_id", F.inline_outer(T.extract_relations(c, T.trace_entities(c))))
+    return rows.where("source is not null").select("event_id", "source", "target", "relation")
 
 
 @query(

@@ -87,7 +87,9 @@ def entity_table(traces: DataFrame, project_names: list[str] | None = None) -> D
 
 def trace_relations(traces: DataFrame) -> DataFrame:
     """(name, date, source, target, type) for the entity pairs of each trace, source <= target."""
-    pairs = traces.select("name", "date", F.inline(T.extract_relations(F.col("text"), F.col("entities"), max_gap=None)))
+    pairs = traces.select("name", "date", F.inline_outer(T.extract_relations(F.col("text"), F.col("entities"), max_gap=None)))
+    # outer, so that the optimizer does not test the array's size with a second evaluation
+    pairs = pairs.where("source is not null")
     return pairs.select(
         "name", "date", F.least("source", "target").alias("source"), F.greatest("source", "target").alias("target"),
         F.col("relation").alias("type"),

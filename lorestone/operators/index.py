@@ -33,8 +33,8 @@ def build_paragraphs(documents: DataFrame, code_types: tuple[str, ...] = ("code"
     rest = [c for c in kept.columns if c not in ("text",)]
     rows = kept.select(
         *rest, F.sha2(text, 256).alias("content_hash"), is_code.alias("is_code"),
-        F.posexplode(units).alias("para_idx", "unit"),
-    )
+        F.posexplode_outer(units).alias("para_idx", "unit"),
+    ).where("unit is not null")
     return rows.select(
         (F.shiftleft(F.col("doc_id").cast("long"), PARA_BITS) + F.col("para_idx")).alias("para_id"),
         *rest, "content_hash", "para_idx", F.col("unit").alias("text"),

@@ -24,12 +24,12 @@ def extract_events(documents: DataFrame, ref: Column) -> DataFrame:
     text = D.annotate_vague_dates(F.col("text"), ref)
     rows = documents.select(
         F.col("name").alias("source"), ref.alias("_ref"),
-        F.posexplode(D.event_sentences(text)).alias("paragraph_idx", "_s"),
+        F.posexplode_outer(D.event_sentences(text)).alias("paragraph_idx", "_s"),
     )
     return rows.select(
-        "source", "paragraph_idx", F.explode(D.event_dates(F.col("_s"), F.col("_ref"))).alias("date"),
+        "source", "paragraph_idx", unnest(D.event_dates(F.col("_s"), F.col("_ref")), "date"),
         F.substring(strip(F.col("_s")), 1, 200).alias("text"),
-    )
+    ).where("date is not null")
 
 
 def date_edges(events: DataFrame, per_date: int = 3) -> DataFrame:

@@ -111,11 +111,19 @@ def build_vectors(chunks: DataFrame, stored: DataFrame | None, encode, batch: in
     return kept.unionByName(embed(pending, encode, batch))
 
 
+def _probe_batches(probes: DataFrame, seed: int = 0) -> list[DataFrame]:
+    """Query vectors in batches of at most ``MAX_PROBES``, split by a hash of their id."""
+    n = probes.count()
+    if n <= MAX_PROBES:
+        return [probes]
+    parts = 2 * (-(-n // MAX_PROBES))
+    share = F.pmod(F.xxhash64("query_id", F.lit(seed)), F.lit(parts))
+    return [b for i in range(parts) for b in _probe_batches(probes.where(share == i), seed + 1)]
+
+
 def _probe_matrix(probes: DataFrame) -> tuple[list, np.ndarray]:
-    """Query vectors for a copy in every task; their number is checked."""
-    rows = probes.select("query_id", "embedding").limit(MAX_PROBES + 1).toPandas()
-    if len(rows) > MAX_PROBES:
-        raise ValueError(f"more than {MAX_PROBES} query vectors; search them in batches")
+    """Query vectors of one batch for a copy in every task."""
+    rows = probes.select("query_id", "embedding").toPandas()
     matrix = np.array(rows["embedding"].tolist(), dtype="float64")
     if len(rows):
         matrix = matrix / np.maximum(np.linalg.norm(matrix, axis=1, keepdims=True), 1e-12)
@@ -123,10 +131,19 @@ def _probe_matrix(probes: DataFrame) -> tuple[list, np.ndarray]:
 
 
 def _similarities(vectors: DataFrame, probes: DataFrame, pick) -> DataFrame:
-    """(query_id, vec_id, similarity) chosen by ``pick`` from each batch of similarities.
+    """(query_id, vec_id, similarity) chosen by ``pick`` from each block of similarities.
 
-    The corpus is read once, in place; each Arrow batch is one matrix product.
+    The corpus is read in place, once per batch of query vectors; each Arrow batch is one matrix
+    product.
     """
+    out = None
+    for batch in _probe_batches(probes.select("query_id", "embedding")):
+        part = _batch_similarities(vectors, batch, pick)
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _batch_similarities(vectors: DataFrame, probes: DataFrame, pick) -> DataFrame:
     ids, matrix = _probe_matrix(probes)
     handle = vectors.sparkSession.sparkContext.broadcast((np.array(ids), matrix))
 

@@ -1,4 +1,4 @@
-"""Small plan helpers: one-row values, top rows per key, salted groups."""
+"""Small plan helpers: rankings and top rows per key."""
 
 from __future__ import annotations
 
@@ -35,23 +35,3 @@ def by_score(tie: str, score: str = "score") -> list[Column]:
 
 def best_per_key(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return top_per_key(df, keys, order, 1, "_one").drop("_one")
-
-
-def hot_join(
-    left: DataFrame, right: DataFrame, on: list[str], salts: int = 16, how: str = "inner"
-) -> DataFrame:
-    """Join whose left side may hold one key in a large share of its rows.
-
-    The left rows get a random-free salt from their content, the right rows are repeated once per
-    salt.  Use it where the right side has few rows per key.
-    """
-    cols = [c for c in left.columns if c not in on]
-    salt = F.pmod(F.xxhash64(*[F.col(c) for c in (cols or on)]), F.lit(salts)).cast("int")
-    many = left.withColumn("_salt", salt)
-    copies = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    return many.join(copies, [*on, "_salt"], how).drop("_salt")
-
-
-def one_row(df: DataFrame) -> Column:
-    """A one-row, one-column frame as a scalar subquery."""
-    return df.scalar()
