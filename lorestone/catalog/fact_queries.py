@@ -8,6 +8,7 @@ from ..functions import fixed
 from ..operators import facts as X
 from ..operators import temporal as E
 from ..plans.scale import top_per_key
+from ..session import settle
 from .base import MEMO_SQL, memo, query, table
 from .text_queries import SIMPLE_ENTITIES_SQL, STRIP, _sentences_sql, chain_sql, q, words_sql
 
@@ -31,8 +32,13 @@ def questions(spark, folder):
     )
 
 
+def facts_table(spark, folder):
+    """Facts as a stored table: they are read several times by every retrieval."""
+    return settle(X.decompose(turns(spark, folder)))
+
+
 def windows(spark, folder):
-    return X.close_windows(X.decompose(turns(spark, folder)))
+    return settle(X.close_windows(facts_table(spark, folder)))
 
 
 FACTS_SQL = rf"""s as (select user_id as scope, datediff('day', date '2024-01-01', cast(day as date)) as session_idx, event_id, day,
@@ -88,7 +94,7 @@ TEMPORAL_SQL = f"""tf as (select query_id, fact_idx, m.score + case when dated t
     select query_id, fact_idx, score, rank from r where rank <= 10"""
 )
 def temporal_fact_query(spark, folder):
-    found = X.temporal_facts(X.decompose(turns(spark, folder)), questions(spark, folder), 10)
+    found = X.temporal_facts(facts_table(spark, folder), questions(spark, folder), 10)
     return found.select("query_id", "fact_idx", "score", "rank")
 
 
@@ -102,7 +108,7 @@ SESSION_SQL = f"""ch as (select m.*, session_idx, {_RANK} as before from m join
     select query_id, fact_idx, session_idx, score, row_number() over (partition by query_id order by score desc, before) as rank from cs"""
 )
 def cross_session_query(spark, folder):
-    found = X.cross_session_facts(X.decompose(turns(spark, folder)), questions(spark, folder), 10)
+    found = X.cross_session_facts(facts_table(spark, folder), questions(spark, folder), 10)
     return found.select("query_id", "fact_idx", "session_idx", "score", "rank")
 
 
