@@ -292,8 +292,15 @@ def is_update_question(c: Column) -> Column:
 
 def feed_timestamp(raw: Column) -> Column:
     """Seconds since the epoch from seconds, milliseconds or ISO text; 0.0 when unreadable."""
-    number = strip(raw).try_cast("double")
-    iso = F.unix_micros(F.to_utc_timestamp(F.try_to_timestamp(strip(raw)), F.current_timezone())) / 1e6
+    text = strip(raw)
+    number = text.try_cast("double")
+    # text without an offset is UTC, whatever the session's time zone
+    zoned = (
+        F.when(text.rlike(r"(?:Z|[+-]\d\d:?\d\d)$"), text)
+        .when(text.rlike(r"^\d{4}-\d{2}-\d{2}$"), F.concat(text, F.lit("T00:00:00Z")))
+        .otherwise(F.concat(text, F.lit("Z")))
+    )
+    iso = F.unix_micros(F.try_to_timestamp(zoned)) / 1e6
     value = F.coalesce(number, iso, F.lit(0.0))
     return F.when(value > 1e10, value / 1000.0).otherwise(value)
 
