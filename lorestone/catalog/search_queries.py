@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import tempfile
 
 from pyspark.sql import functions as F
 
@@ -74,10 +73,7 @@ def bm25_filtered(spark, folder):
 @query(f"with {bm25_sql(DOC_P, BENCH_Q)} select query_id, para_id, round(score, 6) as score, rank from ({rank_sql('scores', 10)})")
 def stored_index_search(spark, folder):
     """BM25 over an index written to the shared folder and read back by token bucket."""
-    from ..session import use_checkpoints
-
-    use_checkpoints(spark)
-    out = os.path.join(spark.sparkContext.getCheckpointDir(), "index-" + next(tempfile._get_candidate_names()))
+    out = new_folder(spark)
     I.write_index(documents_as_paragraphs(spark, folder).select("para_id", "text"), out, buckets=8)
     top = I.search_index(spark, out, benchmark_queries(spark, folder), 10, buckets=8)
     return top.select("query_id", "para_id", F.round("score", 6).alias("score"), "rank")

@@ -3,19 +3,17 @@
 from __future__ import annotations
 
 import os
-import uuid
 
 from pyspark.sql import functions as F
 
-from ..session import use_checkpoints
+from ..session import new_folder
 from ..streaming import jobs as J
 from .base import MEMO, derive, memo, query, table
 from .metric_queries import _OT, MEMO_SQL
 
 
 def _fresh(spark, name: str) -> str:
-    use_checkpoints(spark)
-    return os.path.join(spark.sparkContext.getCheckpointDir(), f"{name}-{uuid.uuid4().hex}")
+    return f"{new_folder(spark)}/{name}"
 
 
 def event_stream(spark, folder):

@@ -1,8 +1,9 @@
-"""Session set-up and the shared checkpoint folder."""
+"""Session set-up and the shared folder for intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,23 +30,38 @@ def local_session(cores: str = "8", app: str = "lorestone", **conf: str) -> Spar
     return spark
 
 
-def use_checkpoints(spark: SparkSession) -> None:
-    """Point the session at the cluster's shared checkpoint folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
-    The cluster names it in ``spark.checkpoint.dir``.  Only where nothing is set, as in tests, a
-    fresh temporary folder is taken.
+    Where it is unset, a local session (one machine, as in tests) takes a temporary folder; on a
+    cluster it is an error, for executors would not see each other's files.
     """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    folder = spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
-    context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="lorestone-checkpoint-"))
+    folder = context.getCheckpointDir() or spark.conf.get(CHECKPOINT_KEY, None) or context.getConf().get(CHECKPOINT_KEY)
+    if folder is None:
+        master = context.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError(f"set {CHECKPOINT_KEY} to a folder that driver and executors share")
+        folder = tempfile.mkdtemp(prefix="lorestone-")
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def new_folder(spark: SparkSession) -> str:
+    """A new path below the shared folder, removed when the driver ends."""
+    path = f"{shared_folder(spark).rstrip('/')}/lorestone-{uuid.uuid4().hex}"
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(place)
+    return path
 
 
 def settle(df: DataFrame) -> DataFrame:
-    """Write the frame to the checkpoint folder and cut its lineage.
+    """Write the frame to the shared folder as Parquet and read it back.
 
-    The result survives lost executors and reads the same rows in every later stage.
+    This cuts the lineage: the rows survive lost executors, are the same for every later stage, and
+    later readers still prune columns and push filters.
     """
-    use_checkpoints(df.sparkSession)
-    return df.checkpoint(eager=True)
+    path = new_folder(df.sparkSession)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
