@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from . import mixing, packing
+from . import hostrules, mixing, packing
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "mixing", "packing"]
+__all__ = ["ORACLES", "QUERIES", "hostrules", "mixing", "packing"]
