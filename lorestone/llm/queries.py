@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from . import hostrules, mixing, packing
+from . import hostrules, jaccard, mixing, packing, sanitise
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "hostrules", "mixing", "packing"]
+__all__ = ["ORACLES", "QUERIES", "hostrules", "jaccard", "mixing", "packing", "sanitise"]
