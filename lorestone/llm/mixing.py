@@ -156,3 +156,20 @@ def op8(spark: SparkSession, folder: str) -> DataFrame:
     return mix(table(spark, folder, "documents")).select(
         "doc_id", "size", "source_size", F.round("target", 4).alias("target"), "taken"
     )
+
+
+def mixed_rows(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with every row as often as the mix takes it.
+
+    Rows of one id, source and text are interchangeable, so their counts are added up.
+    """
+    taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "digest").agg(
+        F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies")
+    ).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), "_copies")
+    once = docs.dropDuplicates(["doc_id", "source", "text"])
+    same = (
+        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
+        & (F.xxhash64(F.col("text")) == F.col("_digest"))
+    )
+    joined = once.join(taken, same)
+    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from . import hostrules, jaccard, mixing, packing, sanitise
+from . import fixity, forest, hostrules, jaccard, mixing, packing, sanitise
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "hostrules", "jaccard", "mixing", "packing", "sanitise"]
+__all__ = ["ORACLES", "QUERIES", "fixity", "forest", "hostrules", "jaccard", "mixing", "packing", "sanitise"]
