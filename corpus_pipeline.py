@@ -20,7 +20,8 @@ from lorestone.session import settle
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules of text and host keep."""
-    judged = judge(docs)
+    # written first: a filter pushed below the measures would repeat them many times over
+    judged = settle(judge(docs))
     return judged.where(F.col(judged.columns[-1])["kept"]).select(*docs.columns)
 
 

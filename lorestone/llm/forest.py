@@ -31,8 +31,10 @@ from ..session import settle
 from .common import table
 from .registry import query
 
-#: trees, vectors they are fitted on, rows a leaf should hold, leaves a query opens over all trees
-TREES, SAMPLE, LEAF_ROWS, OPENED = 12, 16_384, 256, 96
+#: trees, vectors they are fitted on, rows a leaf should hold
+TREES, SAMPLE, LEAF_ROWS = 12, 16_384, 256
+#: leaves a query opens over all trees among 10,000 vectors; the number grows with the root of the table
+OPENED = 96
 #: rows of a leaf that go to one task
 PART_ROWS = 8_192
 
@@ -104,6 +106,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
     folded = _smallest(usable.select("id", "v"), k + 1)
     folded = settle(folded.withColumn("vid", F.xxhash64("v")))
     depth = max(0, min(math.ceil(math.log2(max(1, total / LEAF_ROWS))), int(math.log2(SAMPLE)) - 3))
+    opened = math.ceil(OPENED * max(1.0, total / 10_000) ** 0.5)
     sample = folded.orderBy("vid").limit(SAMPLE).select("v").toArrow().column("v")
 
     def lifted(x: np.ndarray, norm: float | None) -> np.ndarray:
@@ -133,7 +136,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
                 continue
             rows, where = [], []
             for i, q in enumerate(lifted(_matrix(batch.column(1), dims), None)):
-                found = leaves_for(q, ways, cuts, depth, OPENED)
+                found = leaves_for(q, ways, cuts, depth, opened)
                 rows += [i] * len(found)
                 where += [t * (2 << depth) + leaf for t, leaf in found]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *[c.take(pa.array(rows)) for c in batch.columns]], names=["leaf", "qid", "q"])
