@@ -226,7 +226,7 @@ def guard_warnings(results: DataFrame, actions: DataFrame) -> DataFrame:
 # ---- compiled facts ----------------------------------------------------------------------------------
 
 COMPILED_STOPWORDS = (
-    "accuracy benchmark did does for from how into is latest many recent score the there this was what when where which with"
+    "about accuracy actual are benchmark did does for from how into is latest many recent score the there this was what when where which with"
 ).split()
 
 
