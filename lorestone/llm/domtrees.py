@@ -31,6 +31,8 @@ from .registry import query
 
 #: bound of the training sample; rounds, depth and step of the boosting; bins of a feature
 SAMPLE_PAGES, ROUNDS, TREE_DEPTH, RATE, BINS = 400, 40, 3, 0.3, 24
+#: pages whose nodes are judged at once
+GROUP_PAGES = 64
 
 # fixed values: elements of HTML and the words that pages use to name their parts
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
@@ -132,6 +134,7 @@ class _Dom(HTMLParser):
 
 
 FEATURES = ("chars", "link_share", "density", "depth", "boiler_tag", "boiler_word", "boiler_above", "content_word", "content_above", "siblings", "place", "alike", "around", "sentences", "is_text")
+_LOGS = [FEATURES.index(f) for f in ("chars", "density", "around", "sentences")]
 
 
 def dom(html: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
@@ -141,42 +144,43 @@ def dom(html: str) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray]:
     parser.close()
     parser.flush()
     n = len(parser.tag)
-    parent, texts = np.array(parser.parent), parser.texts
-    chars = np.array([len(t) for t in texts], float)
-    links = np.minimum(np.array(parser.linked, float), chars)
-    stops = np.array([t.count(". ") + t.endswith((".", "!", "?")) for t in texts], float)
-    count = np.ones(n)
+    parent, texts = parser.parent, parser.texts
+    chars = [len(t) for t in texts]
+    links = [min(a, b) for a, b in zip(parser.linked, chars, strict=True)]
+    stops = [t.count(". ") + t.endswith((".", "!", "?")) for t in texts]
+    count, kids, seen = [1] * n, [0] * n, [0] * n
     for i in range(n - 1, 0, -1):
         p = parent[i]
         chars[p] += chars[i]
         links[p] += links[i]
         stops[p] += stops[i]
         count[p] += count[i]
-    x = np.zeros((n, len(FEATURES)))
-    label = np.zeros(n)
-    kids = np.bincount(parent[1:], minlength=n) if n > 1 else np.zeros(n, int)
-    seen = np.zeros(n, int)
+        kids[p] += 1
     same: dict[tuple[int, str], int] = {}
-    for i in range(1, n):
-        key = (int(parent[i]), parser.tag[i])
+    for key in zip(parent, parser.tag, strict=True):
         same[key] = same.get(key, 0) + 1
-    depth, bad, good = np.zeros(n), np.zeros(n), np.zeros(n)
+    depth, bad, good = [0] * n, [0] * n, [False] * n
+    rows: list[tuple] = [(0,) * len(FEATURES)]
+    label = np.zeros(n)
+    parts = "article" in parser.tag or "main" in parser.tag
     for i in range(1, n):
         p, tag, words = parent[i], parser.tag[i], parser.words[i]
         seen[p] += 1
         depth[i] = depth[p] + 1
         # an article's own header is part of it
         boiler_tag = tag in BOILER_TAGS and not (tag == "header" and good[p])
-        boiler_word = bool(words & BOILER_WORDS) and tag not in ("body", "html", "article", "main")
+        boiler_word = bool(words and words & BOILER_WORDS) and tag not in ("body", "html", "article", "main")
         bad[i], good[i] = bad[p] + boiler_tag + boiler_word, good[p] or tag in CONTENT_TAGS
-        x[i] = (
-            np.log1p(chars[i]), links[i] / max(1.0, chars[i]), np.log1p(chars[i] / count[i]), min(depth[i], 32), boiler_tag, boiler_word, bad[p] > 0,
-            bool(words & CONTENT_WORDS), good[i], min(kids[p], 64), seen[p] / kids[p], same[(int(p), tag)] / kids[p],
-            np.log1p(chars[p] - chars[i]), np.log1p(stops[i]), tag == "#text",
-        )
-        inside = parser.tag[i] in ("html", "body") and not bad[i]
-        label[i] = inside or (not bad[i] and (good[i] or "article" not in parser.tag and "main" not in parser.tag and (chars[i] > 80 and links[i] < 0.3 * chars[i] or tag in ("h1", "h2", "h3"))))
-    return parent, texts, x, label
+        rows.append((
+            chars[i], links[i] / max(1, chars[i]), chars[i] / count[i], min(depth[i], 32), boiler_tag, boiler_word, bad[p] > 0,
+            bool(words and words & CONTENT_WORDS), good[i], min(kids[p], 64), seen[p] / kids[p], same[p, tag] / kids[p],
+            chars[p] - chars[i], stops[i], tag == "#text",
+        ))
+        inside = tag in ("html", "body")
+        label[i] = not bad[i] and (inside or good[i] or not parts and (chars[i] > 80 and links[i] < 0.3 * chars[i] or tag in ("h1", "h2", "h3")))
+    x = np.array(rows, float)
+    x[:, _LOGS] = np.log1p(x[:, _LOGS])
+    return np.array(parent), texts, x, label
 
 
 def boost(x: np.ndarray, y: np.ndarray) -> tuple[float, list[tuple[np.ndarray, np.ndarray, np.ndarray]]]:
@@ -229,15 +233,16 @@ def chances(x: np.ndarray, model) -> np.ndarray:
 
 def decode(parent: np.ndarray, odds: np.ndarray) -> np.ndarray:
     """The most likely kept set in which every kept node has a kept parent; the root is kept."""
-    yes, no = -np.logaddexp(0, -odds), -np.logaddexp(0, odds)
-    keep, drop = yes.copy(), no.copy()
-    for i in range(len(parent) - 1, 0, -1):
-        keep[parent[i]] += max(keep[i], drop[i])
-        drop[parent[i]] += drop[i]
-    kept = np.ones(len(parent), bool)
-    for i in range(1, len(parent)):
-        kept[i] = kept[parent[i]] and keep[i] >= drop[i]
-    return kept
+    yes, no = (-np.logaddexp(0, -odds)).tolist(), (-np.logaddexp(0, odds)).tolist()
+    above = parent.tolist()
+    keep, drop = yes, no
+    for i in range(len(above) - 1, 0, -1):
+        keep[above[i]] += max(keep[i], drop[i])
+        drop[above[i]] += drop[i]
+    kept = [True] * len(above)
+    for i in range(1, len(above)):
+        kept[i] = kept[above[i]] and keep[i] >= drop[i]
+    return np.array(kept)
 
 
 def fit(pages: DataFrame, html_column: str = "html"):
@@ -260,11 +265,13 @@ def extract(pages: DataFrame, model, html_column: str = "html") -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for html in batch.column(batch.num_columns - 1).to_pylist():
-                parent, texts, x, _ = dom(html or "")
-                kept = decode(parent, chances(x, model.value))
-                out.append("\n".join(t for t, k in zip(texts, kept, strict=True) if k and t))
+            html, out = batch.column(batch.num_columns - 1), []
+            for at in range(0, len(html), GROUP_PAGES):
+                trees = [dom(h or "") for h in html.slice(at, GROUP_PAGES).to_pylist()]
+                odds = chances(np.concatenate([t[2] for t in trees]), model.value)
+                for part, (parent, texts, _, _) in zip(np.split(odds, np.cumsum([len(t[0]) for t in trees])[:-1]), trees, strict=True):
+                    kept = decode(parent, part)
+                    out.append("\n".join(t for t, k in zip(texts, kept.tolist(), strict=True) if k and t))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names=[*batch.schema.names[:-1], "_main_text"])
 
     rest = [c for c in pages.columns if c != html_column]
