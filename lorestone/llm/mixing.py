@@ -26,6 +26,8 @@ from .registry import query
 
 #: bins of keys in which sizes are summed before any order is needed
 BINS = 1 << 16
+#: parts into which the documents of a source are dealt where they meet its facts
+PARTS = 64
 #: a source is repeated at most so often
 MOST_EPOCHS = 3.0
 
@@ -108,7 +110,12 @@ def mix(docs: DataFrame, weights=by_code_point, seed: str = "mix", id_column: st
         "bin_size > 0 and before < rest and before + bin_size >= rest"
     ).select("source", F.col("bin").alias("cut_bin"), "before")
     facts = _same_source(sources, cut, "left")
-    rows = _same_source(drawn, facts)
+    # a source may hold a third of all rows: its one row of facts goes to each of its parts
+    dealt = facts.withColumnRenamed("source", "_source").withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    part = F.pmod(F.xxhash64("doc_id", "digest"), F.lit(PARTS)).cast("int")
+    rows = drawn.withColumn("part", part).join(
+        dealt, F.col("source").eqNullSafe(F.col("_source")) & (F.col("part") == F.col("_part"))
+    ).drop("_source", "_part")
     ends = F.col("bin") == F.col("cut_bin")
     clear = rows.where(~F.coalesce(ends, F.lit(False))).withColumn(
         # without a bin in which the rest ends, the rest is nothing or, by rounding, everything
