@@ -8,8 +8,8 @@ mix the estimates of all depths into one probability per decision, hence per (co
 A context that training never saw says nothing: the mix ends at the one above.
 
 Counts come from all training bytes and are summed by Spark; they grow with the corpus.
-The trees below each preceding byte are independent, and one group holds one of them, at most
-256**DEPTH rows by construction, whatever the corpus.  Texts are scored from their own
+The trees below each two preceding bytes are independent; tasks weigh them in portions, of which one
+tree, at most 256**(DEPTH - 1) rows whatever the corpus, is the smallest.  Texts are scored from their own
 (context, byte) counts: tasks hold the table of values while it has at most ``HELD`` rows, beyond that the counts
 are joined with it, to the same result.
 
@@ -25,7 +25,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,6 +37,8 @@ from .registry import query
 DEPTH = 4
 #: rows of the table of values that tasks hold (12 bytes each)
 HELD = 8_000_000
+#: rows of contexts that a task weighs at once
+PORTION = 1 << 19
 #: key of the end of a text among words
 _END = 0x5EED5EED5EED5EED
 
@@ -55,29 +56,36 @@ def grams(raw: np.ndarray, depth: int = DEPTH) -> np.ndarray:
     return (key << 8) | s[depth:]
 
 
+def _joined(keys: np.ndarray, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys, sorted, with their sums; few sorted runs of keys are merged in linear time."""
+    order = np.argsort(keys, kind="stable")
+    keys, sums = keys[order], sums[order]
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    return keys[first], (np.add.reduceat(sums, first) if len(first) else sums)
+
+
 class _Totals:
-    """Sums of a weight per key, within a task."""
+    """Counts of keys within a task: training texts count, the others only bring their keys."""
 
     def __init__(self) -> None:
         self.keys, self.sums = np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.held: list[np.ndarray] = []
-        self.weights: list[np.ndarray] = []
+        self.held: dict[bool, list[np.ndarray]] = {False: [], True: []}
         self.size = 0
 
-    def add(self, keys: np.ndarray, weight: int) -> None:
-        self.held.append(keys)
-        self.weights.append(np.full(len(keys), weight, np.int8))
+    def add(self, keys: np.ndarray, learned: bool) -> None:
+        self.held[learned].append(keys)
         self.size += len(keys)
         if self.size > 2 * STEP_BYTES:
             self.merge()
 
     def merge(self) -> None:
-        if self.held:
-            key, place = np.unique(np.concatenate(self.held), return_inverse=True)
-            sums = np.bincount(place, np.concatenate(self.weights), len(key)).astype(np.int64)
-            both, place = np.unique(np.concatenate([self.keys, key]), return_inverse=True)
-            self.keys, self.sums = both, np.bincount(place, np.concatenate([self.sums, sums]), len(both)).astype(np.int64)
-            self.held, self.weights, self.size = [], [], 0
+        runs = [(self.keys, self.sums)]
+        for learned, parts in self.held.items():
+            if parts:
+                key, n = np.unique(np.concatenate(parts), return_counts=True)
+                runs.append((key, n if learned else np.zeros(len(key), np.int64)))
+        self.keys, self.sums = _joined(*(np.concatenate(x) for x in zip(*runs, strict=True)))
+        self.held, self.size = {False: [], True: []}, 0
 
     def batch(self) -> pa.RecordBatch:
         self.merge()
@@ -95,7 +103,7 @@ def totals(texts: DataFrame, keys_of) -> DataFrame:
             data, offsets = utf8(batch.column(0))
             learned = batch.column(1).to_pylist()
             for i, yes in enumerate(learned):
-                found.add(keys_of(data[offsets[i]: offsets[i + 1]]), int(bool(yes)))
+                found.add(keys_of(data[offsets[i]: offsets[i + 1]]), bool(yes))
             if len(found.keys) > 1 << 21:
                 yield found.batch()
         yield found.batch()
@@ -137,83 +145,118 @@ def _bits(context: np.ndarray, byte: np.ndarray, n: np.ndarray) -> tuple[np.ndar
     return key[order], a[order], b[order]
 
 
-def _subtree(gram: np.ndarray, n: np.ndarray, depth: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
-    """Per depth from 1 to ``depth`` (decision, p of a one, weight of the own estimate), and ln P_w of depth 1."""
+def _subtree(gram: np.ndarray, n: np.ndarray, depth: int, top: int) -> tuple[list[tuple[np.ndarray, np.ndarray, np.ndarray]], np.ndarray]:
+    """Per depth from ``top`` to ``depth`` (decision, p of a one, weight of the own estimate), and ln P_w at ``top``."""
     levels, product = [], None
-    for d in range(depth, 0, -1):
+    for d in range(depth, top - 1, -1):
         key, a, b = _bits(gram >> (8 * (depth - d + 1)), gram & 255, n)
-        own = _kt(a, b)
-        if product is None:
-            weight, mixed_ = np.ones(len(key)), own
-        else:
+        below = None
+        if product is not None:
             # every child has a parent; what has no children below is its own estimate
-            below = np.zeros(len(key))
             up = ((product[0] >> 16) << 8) | (product[0] & 255)
-            np.add.at(below, np.searchsorted(key, up), product[1])
-            weight = 1.0 / (1.0 + np.exp(np.clip(below - own, -700, 700)))
-            mixed_ = np.logaddexp(own, below) - np.log(2.0)
-        levels.append((key, (b + 0.5) / (a + b + 1.0), weight))
-        product = (key, mixed_)
+            below = np.bincount(np.searchsorted(key, up), product[1], len(key))
+        level, weighted = _weighed(key, a, b, below)
+        levels.append(level)
+        product = (key, weighted)
     return levels[::-1], product[1]
 
 
+def _weighed(key: np.ndarray, a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[tuple[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+    """((decision, p of a one, weight of the own estimate), ln P_w) of one depth; ``below`` sums ln P_w of the children."""
+    own = _kt(a, b)
+    one = (b + 0.5) / (a + b + 1.0)
+    if below is None:
+        return (key, one, np.ones(len(key))), own
+    weight = 1.0 / (1.0 + np.exp(np.clip(below - own, -700, 700)))
+    return (key, one, weight), np.logaddexp(own, below) - np.log(2.0)
+
+
+def _by_context(total: DataFrame, high: int, work, shape: str) -> DataFrame:
+    """Apply ``work`` (keys, counts -> batch) to rows with whole contexts, a context being the key above ``high`` bits.
+
+    Rows come sorted; a task takes them in portions of at least PORTION rows that end where a context ends.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            size += batch.num_rows
+            if size < PORTION:
+                continue
+            key, n = (np.concatenate(x) for x in zip(*held, strict=True))
+            end = int(np.searchsorted(key, (key[-1] >> high) << high))
+            if end:
+                yield work(key[:end], n[:end])
+            held, size = [(key[end:], n[end:])], len(key) - end
+        if size:
+            yield work(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    return total.select("key", "n").repartition(F.shiftright("key", high)).sortWithinPartitions("key").mapInArrow(run, shape)
+
+
 def values(total: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(key, value) for every (context, byte) of all texts: log10 of its probability.
+    """(key, n, value) for every (context, byte) of all texts: value is log10 of its probability.
 
-    The tree below each preceding byte is built twice, first for its weight in the root, then for the values.
+    The trees below each two preceding bytes are built twice, first for their weight in the one-byte contexts, then for
+    the values.  The contexts of no and one byte are 256 and 65,536 rows at most; the driver weighs them.
     """
-    high = 8 * depth
-    groups = total.withColumn("c", F.shiftright("key", high)).groupBy("c")
+    top = min(2, depth)  # depth of the contexts that stay whole
+    high = 8 * (depth - top + 1)
 
-    def weigh(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf[pdf["n"] > 0]
-        levels, weighted = _subtree(pdf["key"].to_numpy(), pdf["n"].to_numpy(), depth)
-        return pd.DataFrame({"node": levels[0][0] & 255, "w": weighted})
+    def weigh(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        levels, weighted = _subtree(key[n > 0], n[n > 0], depth, top)
+        # decisions of the contexts one byte shorter
+        up = ((levels[0][0] >> 16) << 8) | (levels[0][0] & 255)
+        node, place = np.unique(up, return_inverse=True)
+        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(np.bincount(place, weighted, len(node)))], names=["node", "w"])
 
     # 256 preceding bytes times 256 bytes
-    first = total.where("n > 0").groupBy(F.shiftright("key", high).alias("c"), F.col("key").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n")).toArrow()
-    s, n = first.column("s").to_numpy(), first.column("n").to_numpy()
-    root_key, ra, rb = _bits(np.zeros(len(s), np.int64), s, n)
-    below = groups.applyInPandas(weigh, "node long, w double").groupBy("node").agg(F.sum("w").alias("w")).toArrow()  # 255 rows
-    sums = np.zeros(256)
-    sums[below.column("node").to_numpy()] = below.column("w").to_numpy()
-    root = np.stack([np.full(256, 0.5), np.ones(256)])
-    own = _kt(ra, rb)
-    root[0][root_key] = (rb + 0.5) / (ra + rb + 1.0)
-    root[1][root_key] = 1.0 / (1.0 + np.exp(np.clip(sums[root_key] - own, -700, 700)))
-
-    def value(pdf: pd.DataFrame) -> pd.DataFrame:
-        seen = pdf[pdf["n"] > 0]
-        levels, _ = _subtree(seen["key"].to_numpy(), seen["n"].to_numpy(), depth)
-        found = pdf["key"].to_numpy()
-        return pd.DataFrame({"key": found, "n": pdf["n"].to_numpy(), "value": Table(levels, root, depth).value(found)})
-
-    return groups.applyInPandas(value, "key long, n long, value double")
+    first = total.where("n > 0").groupBy(F.shiftright("key", 8 * depth).alias("c"), F.col("key").bitwiseAND(255).alias("s")).agg(F.sum("n").alias("n")).toArrow()
+    c, s, n = (first.column(x).to_numpy() for x in ("c", "s", "n"))
+    below = _by_context(total, high, weigh, "node long, w double").groupBy("node").agg(F.sum("w").alias("w")).toArrow()
+    order = np.argsort(below.column("node").to_numpy())
+    node, weight = below.column("node").to_numpy()[order], below.column("w").to_numpy()[order]
+    upper = []
+    for d in range(top - 1, -1, -1):
+        key, a, b = _bits(c * d, s, n)
+        level, weighted = _weighed(key, a, b, np.bincount(np.searchsorted(key, node), weight, len(key)))
+        upper.append(level)
+        node, place = np.unique(((key >> 16) << 8) | (key & 255), return_inverse=True)
+        weight = np.bincount(place, weighted, len(node))
+    upper = upper[::-1]
+
+    def value(key: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        levels, _ = _subtree(key[n > 0], n[n > 0], depth, top)
+        return pa.RecordBatch.from_arrays([pa.array(key), pa.array(n), pa.array(Table(upper + levels, depth).value(key))], names=["key", "n", "value"])
+
+    return _by_context(total, high, value, "key long, n long, value double")
 
 
 class Table:
-    """The decisions below one preceding byte, sorted, which value (context, byte) numbers."""
+    """The decisions of all depths, sorted, which value (context, byte) numbers."""
 
-    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], root: np.ndarray, depth: int):
-        self.root, self.depth, self.levels = root, depth, levels
+    def __init__(self, levels: list[tuple[np.ndarray, np.ndarray, np.ndarray]], depth: int):
+        self.depth, self.levels = depth, levels
 
     def value(self, gram: np.ndarray) -> np.ndarray:
         """log10 of the probability of the byte in its context."""
         byte, out = gram & 255, np.zeros(len(gram))
         for i in range(8):
             node = (1 << i) | (byte >> (8 - i))
-            one, carry = self.root[0][node].copy(), np.ones(len(gram))
-            mix = np.zeros(len(gram))
-            own, weight = one, self.root[1][node]
-            for d, (key, ones, weights) in enumerate(self.levels, 1):
+            carry, mix = np.ones(len(gram)), np.zeros(len(gram))
+            own, weight = np.full(len(gram), 0.5), np.zeros(len(gram))
+            known = np.ones(len(gram), bool)
+            for d, (key, ones, weights) in enumerate(self.levels):
                 want = ((gram >> (8 * (self.depth - d + 1))) << 8) | node
                 at = np.minimum(np.searchsorted(key, want), max(0, len(key) - 1))
-                seen = (key[at] == want) if len(key) else np.zeros(len(gram), bool)
+                known &= (key[at] == want) if len(key) else False
                 # without the next context the mix ends here
-                share = np.where(seen, weight, 1.0)
+                share = np.where(known, weight, 1.0)
                 mix += carry * share * own
-                carry = carry * (1.0 - share)
-                own, weight = (np.where(seen, ones[at], 0.5), np.where(seen, weights[at], 1.0)) if len(key) else (own, weight)
+                carry *= 1.0 - share
+                if len(key):
+                    own, weight = np.where(known, ones[at], own), np.where(known, weights[at], 1.0)
             mix += carry * own
             out += np.log10(np.where((byte >> (7 - i)) & 1 == 1, mix, 1.0 - mix))
         return out
