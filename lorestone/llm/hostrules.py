@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import settle
 from .common import table
 from .registry import query
 
@@ -155,7 +156,8 @@ def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source
         .groupBy("host").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names])
     )
     limit = F.create_map(*[F.lit(x) for k, (_, most) in rules.items() for x in (k, most)])
-    bad = (
+    # written, so that Spark knows its size and need not shuffle texts by host to learn it
+    bad = settle(
         host_rates(counts, names).where(F.col("rate") > limit[F.col("rule")]).groupBy("host")
         .agg(F.sort_array(F.collect_set("rule")).alias("bad"))  # at most one entry per rule
         .select(F.col("host").alias(f"{m}_host"), F.col("bad").alias(f"{m}_bad"))

@@ -148,8 +148,31 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.mapInArrow(run, "rep long, tokens array<long>")
 
 
+def _among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The sets whose bucket holds an id of a pair, so that others are not shuffled; the joins are exact anyway."""
+    ids = pairs.select(F.explode(F.array("src", "dst")).alias("rep"))
+    found = ids.select(_id_bucket().alias("b")).distinct().toArrow()  # at most 2**CLASS_BITS rows
+    wanted = np.zeros(1 << CLASS_BITS, bool)
+    wanted[found.column("b").to_numpy()] = True
+    bits = sets.sparkSession.sparkContext.broadcast(np.packbits(wanted))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = bits.value
+        for batch in batches:
+            at = batch.column(2).to_numpy()
+            mask = (known[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 == 1
+            yield batch.filter(pa.array(mask)).select(["rep", "tokens"])
+
+    return sets.select("rep", "tokens", "bucket").mapInArrow(run, "rep long, tokens array<long>")
+
+
+def _id_bucket() -> F.Column:
+    return F.pmod(F.xxhash64("rep"), F.lit(1 << CLASS_BITS)).cast("long")
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets reach the similarity."""
+    sets = _among(sets, pairs)
     left = sets.select(F.col("rep").alias("src"), F.col("tokens").alias("a"))
     right = sets.select(F.col("rep").alias("dst"), F.col("tokens").alias("b"))
     both = pairs.join(left, "src").join(right, "dst").withColumn("same", F.size(F.array_intersect("a", "b")))
@@ -171,7 +194,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
     blocks = settle(postings.join(shared.select("key"), "key"))
     # an id may be repeated with different texts; then its sets are told apart by fingerprint
     involved = blocks.select("rep").distinct()
-    sets = settle(_sets(plain.join(involved, plain["doc_id"] == involved["rep"], "left_semi"), width).dropDuplicates(["rep", "tokens"]))
+    texts = plain.join(involved, plain["doc_id"] == involved["rep"], "left_semi")
+    # rows of one id are together already
+    texts = texts.withColumn("digest", F.xxhash64("text")).dropDuplicates(["doc_id", "digest"]).select("doc_id", "text")
+    sets = settle(_sets(texts, width).withColumn("bucket", _id_bucket()))
     labels = settle(reps.select(F.col("rep").alias("node"), F.col("rep").alias("component")).distinct())
     links: DataFrame | None = None
     for turn in range(ROUNDS + 1):
@@ -188,9 +214,13 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
             left = settle(labelled.join(open_.select("key"), "key"))
             right = left.select("key", F.col("rep").alias("other"), F.col("n").alias("m"), F.col("component").alias("other_component"))
             near = left.join(right, "key").where("component < other_component")
-        pairs = near.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(
+        pairs = settle(near.where(f"100 * least(n, m) >= {percent} * greatest(n, m)").select(
             F.least("rep", "other").alias("src"), F.greatest("rep", "other").alias("dst")
-        ).distinct()
+        ).distinct())
+        if pairs.isEmpty():
+            if turn < ROUNDS:
+                continue
+            break
         new = settle(_linked(pairs, sets, percent))
         if new.isEmpty():
             if turn < ROUNDS:
@@ -207,9 +237,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """The rows whose id is the smallest of its group, one row per id and text."""
     groups = jaccard_groups(docs, **options)
-    keep = groups.where("component_id = doc_id or doc_id is null").select(F.col("doc_id").alias("_kept_id")).distinct()
-    once = docs.dropDuplicates(["doc_id", "text"])
-    return once.join(keep, F.col("doc_id").eqNullSafe(F.col("_kept_id")), "left_semi")
+    keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    # the join comes first, so that rows of one id lie together and only what stays is folded
+    named = docs.join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 
 @query("op9_jaccard")
