@@ -11,7 +11,8 @@ sets falls between.
 Counts are lossy: tokens repeated within a task are counted over all tasks.  They only choose the order,
 which may be any, and are kept as one byte per hash bucket.  Equal sets are folded first.  A block is
 first compared with a few of its members, and what these already connect is not compared again;
-all pairs across components that are left are.  Every link is verified on whole sets.
+all pairs across components that are left are.  Pairs are first held against an exact bound from ``MARK_BITS`` parity
+bits of each set, which rules out most without moving tokens; every link is verified on whole sets.
 
 Defined results: a null text and one without words have the empty set, which links with nothing; fewer
 words than a shingle has are one shingle.  Repeated rows are equal sets.  Rows with null id take
@@ -38,6 +39,8 @@ FREQUENT = 32
 COMBINED = 96
 #: classes of tokens are kept for 2**CLASS_BITS hash buckets, a byte each
 CLASS_BITS = 22
+#: bits that stand for a set before its tokens are compared
+MARK_BITS = 1024
 #: rounds in which each block is compared with one member
 ROUNDS = 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -143,9 +146,27 @@ def _sets(texts: DataFrame, width: int) -> DataFrame:
             found = list(shingle_sets(batch.column(1), width))
             flat = np.concatenate([*found, np.zeros(0, np.uint64)]).view(np.int64)
             borders = np.concatenate([[0], np.cumsum([len(k) for k in found], dtype=np.int64)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), lists(flat, borders)], names=["rep", "tokens"])
+            sizes = pa.array(np.diff(borders))
+            marks = np.concatenate([*map(_marks, found), np.zeros(0, np.int64)])
+            rows = np.arange(len(found) + 1) * (MARK_BITS // 64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), sizes, lists(marks, rows), lists(flat, borders)], names=["rep", "n", "marks", "tokens"])
 
-    return texts.mapInArrow(run, "rep long, tokens array<long>")
+    return texts.mapInArrow(run, "rep long, n long, marks array<long>, tokens array<long>")
+
+
+def _marks(tokens: np.ndarray) -> np.ndarray:
+    """The parity of the number of tokens in each of MARK_BITS hash ranges, as longs."""
+    place = (tokens >> np.uint64(64 - MARK_BITS.bit_length() + 1)).astype(np.int64)
+    return np.packbits(np.bincount(place, minlength=MARK_BITS).astype(np.uint8) & 1).view(np.int64)
+
+
+def _possible(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The pairs that their marks do not rule out: a mark that differs proves a token that only one of them has."""
+    side = lambda node, x: sets.select(F.col("rep").alias(node), F.col("n").alias(f"n_{x}"), F.col("marks").alias(f"m_{x}"))
+    both = pairs.join(side("src", "a"), "src").join(side("dst", "b"), "dst")
+    apart = F.aggregate(F.zip_with("m_a", "m_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    total = F.col("n_a") + F.col("n_b")
+    return both.where((100 + percent) * (total - apart) >= 2 * percent * total).select("src", "dst").distinct()
 
 
 def _among(sets: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -172,6 +193,7 @@ def _id_bucket() -> F.Column:
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (src, dst) whose sets reach the similarity."""
+    pairs = settle(_possible(pairs, sets, percent))
     sets = _among(sets, pairs)
     left = sets.select(F.col("rep").alias("src"), F.col("tokens").alias("a"))
     right = sets.select(F.col("rep").alias("dst"), F.col("tokens").alias("b"))
