@@ -145,3 +145,38 @@ def test_empty_tables(odd):
     assert sanitise.spans(none).count() == 0
     assert contexttree.score(none, F.lit(True)).count() == 0
     assert mixing.mix(none).count() == 0
+
+
+def test_context_trees_equal_a_recursive_weighting(spark):
+    """Every decision's tree weighted by the textbook recursion, over all trained (context, byte)."""
+    from math import exp, lgamma, log
+
+    depth = 3
+    grams = contexttree.grams(np.frombuffer(b"abracadabra abacus cab abba", np.uint8), depth).tolist()
+    split = lambda g: (tuple(g >> (8 * (depth - i)) & 255 for i in range(depth)), g & 255)
+
+    def weigh(rows, path, d):
+        """(ln P_w, mixed p of a one along ``path``) of the node that these (context, bit) belong to."""
+        a, b = sum(not y for _, y in rows), sum(y for _, y in rows)
+        own = lgamma(a + 0.5) + lgamma(b + 0.5) - lgamma(a + b + 1) - 2 * lgamma(0.5)
+        one = (b + 0.5) / (a + b + 1)
+        if d == depth:
+            return own, one
+        below, next_one = 0.0, one
+        for c in {x[d] for x, _ in rows}:
+            part = weigh([r for r in rows if r[0][d] == c], path, d + 1)
+            below += part[0]
+            next_one = part[1] if c == path[d] else next_one
+        share = 1 / (1 + exp(below - own))
+        return log(exp(own) / 2 + exp(below) / 2), share * one + (1 - share) * next_one
+
+    table = spark.createDataFrame([(g, grams.count(g)) for g in set(grams)], "key long, n long")
+    for row in contexttree.values(table, depth).collect():
+        path, byte = split(row.key)
+        want = 0.0
+        for i in range(8):
+            node = (1 << i) | (byte >> (8 - i))
+            rows = [(x, y >> (7 - i) & 1) for x, y in map(split, grams) if (1 << i) | (y >> (8 - i)) == node]
+            one = weigh(rows, path, 0)[1]
+            want += np.log10(one if byte >> (7 - i) & 1 else 1 - one)
+        assert abs(row.value - want) < 1e-9
