@@ -180,3 +180,41 @@ def test_context_trees_equal_a_recursive_weighting(spark):
             one = weigh(rows, path, 0)[1]
             want += np.log10(one if byte >> (7 - i) & 1 else 1 - one)
         assert abs(row.value - want) < 1e-9
+
+
+def test_cross_parsing_tells_letters_of_many_scripts_apart(spark):
+    rng = random.Random(6)
+    # Latin and Cyrillic fill a shared alphabet; Georgian and Armenian are told apart by their letters alone
+    scripts = {"la": range(0x61, 0x7B), "cy": range(0x430, 0x450), "ka": range(0x10D0, 0x10F0), "hy": range(0x561, 0x581), "zh": range(0x4E00, 0x5200)}
+    make = lambda n: " ".join("".join(chr(rng.choice(scripts[n])) for _ in range(4)) for _ in range(40))
+    rows = [(1000 * k + i, make(n), n, "a") for k, n in enumerate(scripts) for i in range(30)]
+    docs = frame(spark, rows)
+    model = spark.sparkContext.broadcast(crossparse.learn(docs.where("doc_id % 1000 < 20")))
+    got = {r.doc_id: r.lang_pred for r in crossparse.identify(docs, model, F.col("text")).collect()}
+    assert all(got[i] == n for i, _, n, _ in rows)
+
+
+def test_cross_parsing_samples_different_texts_over_their_length(spark):
+    long = "a" * 60_000 + "z" * 60_000
+    rows = [(i, "copy " * 20, "en", "a") for i in range(300)] + [(1000, long, "en", "a")]
+    text = crossparse.sample(frame(spark, rows))["en"]
+    assert text.count("copy") == 20 and "a" in text and text.count("z") > 5000 and len(text) <= crossparse.TRAIN_CHARS
+
+
+def test_phrases_equal_a_greedy_parse_with_both_tables(monkeypatch):
+    rng = random.Random(7)
+    learned = [rng.choice([0, 1, 3, 4, 5]) for _ in range(300)]
+    seen = {tuple(learned[i:j]) for i in range(300) for j in range(i + 1, min(301, i + 20))}
+    pieces = np.array([[rng.choice([0, 1, 2, 3, 4, 5]) for _ in range(40)] for _ in range(30)])
+    want = []
+    for row in pieces.tolist():
+        n, at = 0, 0
+        while at < len(row):
+            end = at + 1
+            while end < len(row) and tuple(row[at: end + 1]) in seen:
+                end += 1
+            n, at = n + 1, end
+        want.append(n)
+    for size in (crossparse.TABLE, 0):
+        monkeypatch.setattr(crossparse, "TABLE", size)
+        assert crossparse.phrases(pieces, np.full(30, 40), crossparse.automaton(learned, 6)).tolist() == want
