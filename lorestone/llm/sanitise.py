@@ -3,7 +3,7 @@
 The patterns find protected values.  Words within ``WINDOW`` words of a value are terms that may
 reveal it.  The corpus tells how strongly: of the different texts that hold the term, the share in
 which it stands beside that very value, P(value | term), and the information it gives,
-log2(P(value | term) / P(value)).  A term above both thresholds and beside the value in enough different
+log2(P(value | term) / P(value)); texts and the texts that hold the value are counted exactly.  A term above both thresholds and beside the value in enough different
 texts is removed wherever it stands.
 
 Counts cover all documents; the term filter that tasks hold is a bit table of fixed size, and
@@ -99,10 +99,27 @@ def _outside(spans: list[tuple[int, int, int]], starts: np.ndarray, ends: np.nda
     return free
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, term, digest) of the words beside each value."""
+def _value(kind: int, raw: str) -> int:
+    """A 62-bit hash of a protected value."""
     import zlib
 
+    data = raw.lower().encode()
+    return (zlib.crc32(data) << 31) ^ zlib.adler32(data) ^ kind
+
+
+def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, digest) once for each value of a text, and (null, digest) for each text."""
+    for batch in batches:
+        values, digests = [], []
+        for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            found = {_value(kind, text[a:b]) for kind, a, b in base_spans(text or "")}
+            values += [None, *found]
+            digests += [digest] * (len(found) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(digests, pa.int64())], names=["value", "digest"])
+
+
+def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(value, term, digest) of the words beside each value."""
     for batch in batches:
         values, terms, digests = [], [], []
         for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -115,9 +132,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 left, right = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
                 near = np.r_[max(0, left - WINDOW): left, right: min(len(starts), right + WINDOW)]
                 near = [i for i in near[free[near]] if any(c.isalpha() for c in text[starts[i]: ends[i]])]
-                raw = text[a:b].lower().encode()
-                value = (zlib.crc32(raw) << 31) ^ zlib.adler32(raw) ^ kind
-                values += [value] * len(near)
+                values += [_value(kind, text[a:b])] * len(near)
                 terms += hashes[near].view(np.int64).tolist()
                 digests += [digest] * len(near)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (values, terms, digests)], names=["value", "term", "digest"])
@@ -162,8 +177,9 @@ def revealing_terms(docs: DataFrame) -> DataFrame:
     wanted = pairs.select("term").distinct()
     held = docs.select("text", "digest").mapInArrow(holding, "term long, digest long").join(wanted, "term", "left_semi").distinct()
     df = held.groupBy("term").agg(F.count("*").alias("texts"))
-    total = docs.select(F.approx_count_distinct("digest").alias("n")).scalar()
-    values = pairs.groupBy("value").agg(F.max("together").alias("holding"))
+    seen = settle(docs.select("text", "digest").mapInArrow(_seen, "value long, digest long").distinct())
+    total = seen.where("value is null").count()
+    values = seen.where("value is not null").groupBy("value").agg(F.count("*").alias("holding"))
     judged = pairs.join(df, "term").join(values, "value").withColumn("share", F.col("together") / F.col("texts"))
     return judged.where(
         (F.col("share") >= SHARE) & (F.log2(F.col("share") * total / F.col("holding")) >= BITS)
