@@ -1,13 +1,15 @@
 """Sanitising personal data: patterns first, then terms that reveal the protected values.
 
-The patterns find protected values.  Words within ``WINDOW`` words of a value are terms that may
-reveal it.  The corpus tells how strongly: of the different texts that hold the term, the share in
-which it stands beside that very value, P(value | term), and the information it gives,
-log2(P(value | term) / P(value)); texts and the texts that hold the value are counted exactly.  A term above both thresholds and beside the value in enough different
-texts is removed wherever it stands.
+The patterns find protected values.  Words of the texts that hold a value are terms that may
+reveal it, wherever they stand in the text.  The corpus tells how strongly: of the different texts that hold
+the term, the share that holds that very value, P(value | term), and the information it gives,
+log2(P(value | term) / P(value)); all of these texts are counted exactly.  A term above both thresholds and with
+the value in enough different texts is removed wherever it stands.
 
-Counts cover all documents; the term filter that tasks hold is a bit table of fixed size, and
-an exact join on 64-bit hashes follows.
+Counts cover all documents.  The bounds that keep the pairs few follow from the thresholds: a share is at
+most 1, so a value in more than one of 2**BITS texts has no terms; and a term must have SHARE already
+among the texts that hold some value, before its other texts are counted.  The filters that tasks hold are bit tables of fixed size, and
+exact joins on 64-bit hashes follow.
 
 Defined results: null text is empty and has no spans.  Repeated rows get the same spans, and equal texts
 count once.  Texts of any length are searched whole; all patterns run in linear time.  An empty
@@ -30,14 +32,12 @@ from .common import table, utf8, word_bounds, word_hashes
 from .registry import query
 
 KINDS = ("email", "ip", "card", "phone", "term")
-#: words on each side of a value that may reveal it
-WINDOW = 4
-#: different texts in which a term must stand beside the value
+#: different texts that must hold both a term and the value
 SUPPORT = 4
 #: least P(value | term) and least information in bits
 SHARE, BITS = 0.8, 6.0
-#: size of the bit table of terms
-FILTER_BITS = 24
+#: size of the bit tables; words of a step
+FILTER_BITS, STEP_WORDS = 24, 1 << 20
 
 # fixed values: the base patterns; lookbehind and possessive runs only keep them linear
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -118,29 +118,9 @@ def _seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values, pa.int64()), pa.array(digests, pa.int64())], names=["value", "digest"])
 
 
-def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(value, term, digest) of the words beside each value."""
-    for batch in batches:
-        values, terms, digests = [], [], []
-        for text, digest in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            spans = base_spans(text or "")
-            if not spans:
-                continue
-            hashes, starts, ends = _words(text)
-            free = _outside(spans, starts, ends)
-            for kind, a, b in spans:
-                left, right = int(np.searchsorted(ends, a, "right")), int(np.searchsorted(starts, b, "left"))
-                near = np.r_[max(0, left - WINDOW): left, right: min(len(starts), right + WINDOW)]
-                near = [i for i in near[free[near]] if any(c.isalpha() for c in text[starts[i]: ends[i]])]
-                values += [_value(kind, text[a:b])] * len(near)
-                terms += hashes[near].view(np.int64).tolist()
-                digests += [digest] * len(near)
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (values, terms, digests)], names=["value", "term", "digest"])
-
-
-def _bit_table(terms: DataFrame) -> np.ndarray:
-    """True for the buckets of the terms; of fixed size."""
-    found = terms.select(F.shiftrightunsigned("term", 64 - FILTER_BITS).alias("b")).distinct().toArrow()  # at most 2**FILTER_BITS rows
+def _bit_table(hashes: DataFrame, column: str) -> np.ndarray:
+    """True for the buckets of the hashes; of fixed size."""
+    found = hashes.select(F.shiftrightunsigned(column, 64 - FILTER_BITS).alias("b")).distinct().toArrow()  # at most 2**FILTER_BITS rows
     bits = np.zeros(1 << FILTER_BITS, bool)
     bits[found.column(0).to_numpy()] = True
     return np.packbits(bits)
@@ -151,38 +131,103 @@ def _hit(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return (bits[bucket >> 3] >> (7 - (bucket & 7)).astype(np.uint8)) & 1 == 1
 
 
+def _with_letters(text: str, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    kinds, at = np.unique(points, return_inverse=True)
+    before = np.concatenate([[0], np.cumsum(np.array([chr(k).isalpha() for k in kinds.tolist()], bool)[at])])
+    return before[ends] > before[starts]
+
+
+def _terms(text: str, bits: np.ndarray | None) -> np.ndarray:
+    """Different hashes of the words with a letter outside of all values; with ``bits`` only those found there."""
+    if not text:
+        return np.zeros(0, np.uint64)
+    hashes, starts, ends = _words(text)
+    keep = _with_letters(text, starts, ends) if bits is None else _hit(bits, hashes)
+    hashes, starts, ends = hashes[keep], starts[keep], ends[keep]
+    return np.unique(hashes[_outside(base_spans(text), starts, ends)]) if len(hashes) else hashes
+
+
+def _holding(texts: DataFrame, inside, terms, repeated) -> DataFrame:
+    """(term, digest, n): n different texts hold the term.
+
+    Only texts in ``inside`` and terms in ``terms`` count, all where these are None.  Texts that are not in
+    ``repeated`` are added up in the task and have a null digest; of others, and where it is None, each
+    has a row with its digest, and copies in other tasks have the same row.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        within, wanted, again = (x and x.value for x in (inside, terms, repeated))
+
+        def rows(once: list[np.ndarray], each: list[tuple[int, np.ndarray]]) -> pa.RecordBatch:
+            found, counts = np.unique(np.concatenate([np.zeros(0, np.uint64), *once]), return_counts=True)
+            term = np.concatenate([found, *[x for _, x in each]]).view(np.int64)
+            digest = np.concatenate([np.zeros(len(found), np.int64), *[np.full(len(x), d) for d, x in each]])
+            n = np.ones(len(term), np.int64)
+            n[: len(found)] = counts
+            return pa.RecordBatch.from_arrays([pa.array(term), pa.array(digest, mask=np.arange(len(term)) < len(found)), pa.array(n)], names=["term", "digest", "n"])
+
+        for batch in batches:
+            digests = batch.column(1).to_numpy()
+            hashed = digests.view(np.uint64)
+            live = np.ones(len(digests), bool) if within is None else _hit(within, hashed)
+            apart = np.ones(len(digests), bool) if again is None else _hit(again, hashed)
+            once, each, size, met = [], [], 0, set()
+            for i in np.flatnonzero(live).tolist():
+                digest = int(digests[i])
+                if apart[i]:
+                    if digest in met:
+                        continue
+                    met.add(digest)
+                found = _terms(batch.column(0)[i].as_py(), wanted)
+                if apart[i]:
+                    each.append((digest, found))
+                else:
+                    once.append(found)
+                size += len(found)
+                if size > STEP_WORDS:
+                    yield rows(once, each)
+                    once, each, size = [], [], 0
+            yield rows(once, each)
+
+    return texts.mapInArrow(run, "term long, digest long, n long")
+
+
+def _texts_of(held: DataFrame) -> DataFrame:
+    """(term, texts) from ``_holding``."""
+    one = held.groupBy("term", "digest").agg(F.sum("n").alias("n"))
+    return one.groupBy("term").agg(F.sum(F.when(F.col("digest").isNull(), F.col("n")).otherwise(1)).alias("texts"))
+
+
 def revealing_terms(docs: DataFrame) -> DataFrame:
     """(term): hashes of the words that reveal a protected value, from (text, digest) of all documents."""
     spark = docs.sparkSession
-    beside = docs.select("text", "digest").mapInArrow(_neighbours, "value long, term long, digest long").distinct()
-    pairs = settle(beside.groupBy("value", "term").agg(F.count("*").alias("together")).where(F.col("together") >= SUPPORT))
-    bits = spark.sparkContext.broadcast(_bit_table(pairs))
-
-    def holding(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table_ = bits.value
-        for batch in batches:
-            terms, digests = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
-            data, offsets = utf8(batch.column(0))
-            digest = batch.column(1).to_numpy()
-            for i in range(len(digest)):
-                part = data[offsets[i]: offsets[i + 1]]
-                starts, ends, _ = word_bounds(part, np.array([0, len(part)]))
-                hashes = word_hashes(part, starts, ends)
-                found = np.unique(hashes[_hit(table_, hashes)])
-                terms.append(found)
-                digests.append(np.full(len(found), digest[i]))
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(terms).view(np.int64)), pa.array(np.concatenate(digests))], names=["term", "digest"])
-
-    # a term counts every different text, so that the share is over all documents
-    wanted = pairs.select("term").distinct()
-    held = docs.select("text", "digest").mapInArrow(holding, "term long, digest long").join(wanted, "term", "left_semi").distinct()
-    df = held.groupBy("term").agg(F.count("*").alias("texts"))
-    seen = settle(docs.select("text", "digest").mapInArrow(_seen, "value long, digest long").distinct())
+    shared = lambda df, column: spark.sparkContext.broadcast(_bit_table(df, column))
+    texts = docs.select("text", "digest")
+    seen = settle(texts.mapInArrow(_seen, "value long, digest long").groupBy("value", "digest").agg(F.count("*").alias("copies")))
     total = seen.where("value is null").count()
-    values = seen.where("value is not null").groupBy("value").agg(F.count("*").alias("holding"))
-    judged = pairs.join(df, "term").join(values, "value").withColumn("share", F.col("together") / F.col("texts"))
-    return judged.where(
-        (F.col("share") >= SHARE) & (F.log2(F.col("share") * total / F.col("holding")) >= BITS)
+    values = settle(
+        seen.where("value is not null").groupBy("value").agg(F.count("*").alias("holding"))
+        .where((F.col("holding") >= SUPPORT) & (F.log2(F.lit(total) / F.col("holding")) >= BITS))
+    )
+    most = values.agg(F.max("holding")).first()[0]
+    if most is None:
+        return values.select(F.col("value").alias("term"))  # no rows
+    holders = settle(seen.where("value is not null").join(values, "value").select("value", "digest", "holding"))
+    inside, repeated = shared(holders, "digest"), shared(seen.where("value is null and copies > 1"), "digest")
+    # a term's texts are at least those beside a value, and SHARE of them hold one value; so this holds for the latter too
+    fits = (F.col("texts") >= SUPPORT) & (F.lit(most) / F.col("texts") >= SHARE)
+    near = settle(_texts_of(_holding(texts, inside, None, repeated)).where(fits))
+    held = _holding(texts, inside, shared(near, "term"), None).select("term", "digest").distinct()
+    pairs = settle(
+        held.join(near, "term").join(holders, "digest").where(F.col("holding") / F.col("texts") >= SHARE)
+        .groupBy("value", "term").agg(F.count("*").alias("together"), F.first("texts").alias("near"), F.first("holding").alias("holding"))
+        .where((F.col("together") >= SUPPORT) & (F.col("together") / F.col("near") >= SHARE))
+    )
+    df = _texts_of(_holding(texts, None, shared(pairs, "term"), repeated))
+    share = F.col("together") / F.col("texts")
+    return pairs.join(df, "term").where(
+        (share >= SHARE) & (F.log2(share * total / F.col("holding")) >= BITS)
     ).select("term").distinct()
 
 
@@ -192,7 +237,7 @@ def spans(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text")
     plain = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.coalesce(F.col(text_column).cast("string"), F.lit("")).alias("text"))
     plain = plain.withColumn("digest", F.xxhash64("text"))
     flagged = settle(revealing_terms(plain))
-    bits = spark.sparkContext.broadcast(_bit_table(flagged))
+    bits = spark.sparkContext.broadcast(_bit_table(flagged, "term"))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())]))

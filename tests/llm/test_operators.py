@@ -227,3 +227,28 @@ def test_a_common_value_is_not_revealed_by_its_varying_neighbours(spark):
     rows += [(1000 + i, f"other text number {i}", "en", "a") for i in range(1200)]
     clean = {r.doc_id: r.text for r in sanitise.sanitised(frame(spark, rows)).collect()}
     assert all(clean[i] == f"{around(i)} [EMAIL] {around(i)} {i}" for i in range(600))
+
+
+def test_terms_far_from_the_value_equal_brute_force(spark):
+    from math import log2
+
+    rng = random.Random(8)
+    rows = [(i, " ".join(rng.choice(WORDS) for _ in range(30)), "en", "a") for i in range(900)]
+    for k in range(3):
+        # the name stands in the heading, the address at the end; one text comes twice
+        some = [f"Owner{k} {' '.join(rng.choice(WORDS) for _ in range(20))} {' '.join(['Halfname'] * (k == 0))} box{k}@corp.example.com" for _ in range(5 + k)]
+        rows += [(1000 + 100 * k + i, t, "en", "a") for i, t in enumerate([*some, some[0]])]
+    rows += [(2000 + i, f"Halfname without the address {i}", "en", "a") for i in range(5)]
+    texts = {t for _, t, _, _ in rows}
+    want = set()
+    for value in {w for t in texts for w in t.split() if "@" in w}:
+        holding = [set(t.split()) for t in texts if value in t.split()]
+        for term in {w for x in holding for w in x if "@" not in w}:
+            together, held = sum(term in x for x in holding), sum(term in t.split() for t in texts)
+            if together >= sanitise.SUPPORT and together / held >= sanitise.SHARE and log2(together / held * len(texts) / len(holding)) >= sanitise.BITS:
+                want.add(term)
+    assert want == {"Owner0", "Owner1", "Owner2"}
+    clean = {r.doc_id: r.text for r in sanitise.sanitised(frame(spark, rows)).collect()}
+    for i, t, _, _ in rows:
+        assert clean[i].split() == ["[TERM]" if w in want else "[EMAIL]" if "@" in w else w for w in t.split()]
+    assert "Owner1" not in clean[1100] and clean[1100].startswith("[TERM] ")
