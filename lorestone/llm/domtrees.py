@@ -11,7 +11,8 @@ articles and main parts.  In half of the sample pages the trees do not see that
 so that they also learn from density and links.
 
 Defined results: null and empty pages and pages without text give an empty text.  Pages cut off anywhere are
-closed at their end.  Repeated rows get equal results.  Trees of any depth are walked without
+closed at their end.  A head without an end tag ends at the first tag or text that cannot stand in it, and another
+hidden element without one where an element around it ends.  Repeated rows get equal results.  Trees of any depth are walked without
 recursion.  An empty table gives no rows.  Columns other than id, url and html are not looked at.
 """
 
@@ -38,6 +39,7 @@ GROUP_PAGES = 64
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "label"}
 HIDDEN = {"head", "noscript", "script", "style", "template", "svg", "iframe", "object", "canvas", "title"}
+IN_HEAD = {"base", "basefont", "bgsound", "head", "html", "link", "meta", "noframes", "noscript", "script", "style", "template", "title"}
 BOILER_TAGS = {"nav", "header", "footer", "aside", "form", "button", "select", "textarea", "menu", "dialog"}
 CONTENT_TAGS = {"article", "main"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -60,8 +62,9 @@ class _Dom(HTMLParser):
         self.linked: list[int] = [0]
         self.stack = [0]
         self.run: list[str] = []
-        self.links = self.in_run = self.hidden = 0
-        self.hidden_tag = ""
+        self.links = self.in_run = 0
+        #: the hidden element and the elements open in it
+        self.hidden: list[str] = []
 
     def _node(self, tag: str, words: frozenset = frozenset(), text: str = "", linked: int = 0) -> int:
         self.parent.append(self.stack[-1])
@@ -89,11 +92,12 @@ class _Dom(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        if self.hidden:
-            self.hidden += tag == self.hidden_tag
-            return
-        if tag in HIDDEN:
-            self.hidden, self.hidden_tag = 1, tag
+        # a head ends at the first tag that cannot stand in it, everything hidden at the body
+        if self.hidden == ["head"] and tag not in IN_HEAD or self.hidden and tag == "body" and "body" not in self.tag:
+            self.hidden = []
+        if self.hidden or tag in HIDDEN:
+            if tag not in VOID and (not self.hidden or tag not in ("html", "head", "body")):
+                self.hidden.append(tag)
             return
         if tag == "br":
             self.run.append(" ")
@@ -113,9 +117,13 @@ class _Dom(HTMLParser):
             self.stack.append(self._node(tag, found))
 
     def handle_endtag(self, tag: str) -> None:
-        if self.hidden:
-            self.hidden -= tag == self.hidden_tag
+        if tag in self.hidden:
+            del self.hidden[len(self.hidden) - 1 - self.hidden[::-1].index(tag):]
+            return
+        if self.hidden and not any(self.tag[i] == tag for i in self.stack[1:]):
             return
+        # the end of an element around it ends what is hidden
+        self.hidden = []
         if tag == "a":
             self.links = max(0, self.links - 1)
         if tag == "p" or tag not in VOID:
@@ -126,6 +134,8 @@ class _Dom(HTMLParser):
                     break
 
     def handle_data(self, data: str) -> None:
+        if self.hidden == ["head"] and data.strip():
+            self.hidden = []
         if self.hidden:
             return
         self.run.append(data)

@@ -252,3 +252,23 @@ def test_terms_far_from_the_value_equal_brute_force(spark):
     for i, t, _, _ in rows:
         assert clean[i].split() == ["[TERM]" if w in want else "[EMAIL]" if "@" in w else w for w in t.split()]
     assert "Owner1" not in clean[1100] and clean[1100].startswith("[TERM] ")
+
+
+def _page_text(html):
+    return " ".join(t for t in domtrees.dom(html)[1] if t)
+
+
+@pytest.mark.parametrize("html, want", [
+    ("<html><head><title>x</title><body><article>Story</article>", "Story"),
+    ("<html><head><title>x</title><meta charset=u><article>Story</article>", "Story"),
+    ("<head><title>x</title><script>var a</script>Story", "Story"),
+    ("<head><noscript><img src=a><body><p>Story</p>", "Story"),
+    ("<head><title>a <b>bold</b> title</title><noscript><div>no</div></noscript></head><body>Story", "Story"),
+    ("<body><div>One<noscript>no</div><p>Story</p>", "One Story"),
+    ("<body><div><svg><g><path></div><p>Story</p>", "Story"),
+    ("<body><div><object><div>no</div>no</div><p>Story</p>", "Story"),
+    ("<body><section><iframe src=a>no</section><p>Story</p>", "Story"),
+    ("<body><object><object>no</object>no</object><p>Story</p>", "Story"),
+])
+def test_hidden_elements_end(html, want):
+    assert _page_text(html) == want
