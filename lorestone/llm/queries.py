@@ -1,6 +1,6 @@
 """All registered queries of this package."""
 
-from . import contexttree, crossparse, domtrees, fixity, forest, hostrules, jaccard, mixing, packing, sanitise
+from . import contexttree, crossparse, divergence, domtrees, fixity, forest, hostrules, jaccard, mixing, packing, postorder, pretokens, sanitise
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "contexttree", "crossparse", "domtrees", "fixity", "forest", "hostrules", "jaccard", "mixing", "packing", "sanitise"]
+__all__ = ["ORACLES", "QUERIES", "contexttree", "crossparse", "divergence", "domtrees", "fixity", "forest", "hostrules", "jaccard", "mixing", "packing", "postorder", "pretokens", "sanitise"]
