@@ -226,25 +226,22 @@ def event_extraction(spark, folder):
 
 
 def _answers(spark, folder, text: str):
-    """Per customer: the first five orders as dated events, and one question."""
+    """Per customer: all orders as dated events in the order of their keys, and one question."""
     o = table(spark, folder, "orders")
-    first = top_per_key(o.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").alias("d"), "o_orderpriority"),
-                        ["o_custkey"], [F.asc("o_orderkey")], 5)
-    per = first.groupBy("o_custkey").agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct("rank", F.col("d").cast("string").alias("date"), F.concat(F.lit("placed an order with priority "), F.lower("o_orderpriority")).alias("text")))),
-            lambda x: F.struct(x["date"].alias("date"), x["text"].alias("text")),
-        ).alias("events")
+    text_ = F.concat(F.lit("placed an order with priority "), F.lower("o_orderpriority"))
+    dated = o.select("o_custkey", "o_orderkey", F.to_date("o_orderdate").cast("string").alias("date"), text_.alias("text"))
+    per = dated.groupBy("o_custkey").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("o_orderkey", "date", "text"))), lambda x: F.struct(x["date"].alias("date"), x["text"].alias("text"))).alias("events")
     )
     return per.select("o_custkey", E.temporal_answer(F.lit(text), F.col("events"), F.lit("2000-01-01").cast("date")).alias("answer"))
 
 
-_FIVE = """f as (select o_custkey, o_orderkey, cast(o_orderdate as date) as d, 'placed an order with priority ' || lower(o_orderpriority) as text,
-    row_number() over (partition by o_custkey order by o_orderkey) as rn from orders qualify rn <= 5)"""
+_DATED = """f as (select o_custkey, o_orderkey, cast(o_orderdate as date) as d, 'placed an order with priority ' || lower(o_orderpriority) as text,
+    row_number() over (partition by o_custkey order by o_orderkey) as rn from orders)"""
 
 
 @query(
-    f"""with {_FIVE}, l as (select o_custkey, arg_max(text, (d, -rn)) as text, max(d) as d from f group by 1)
+    f"""with {_DATED}, l as (select o_custkey, arg_max(text, (d, -rn)) as text, max(d) as d from f group by 1)
     select o_custkey, substr(text, 1, 100) || ' (' || cast(d as string) || ')' as answer from l"""
 )
 def most_recent_event(spark, folder):
@@ -252,14 +249,14 @@ def most_recent_event(spark, folder):
 
 
 @query(
-    f"""with {_FIVE} select o_custkey, count(distinct d) || ' times (on ' || string_agg(distinct cast(d as string), ', ' order by cast(d as string)) || ')' as answer from f group by 1"""
+    f"""with {_DATED} select o_custkey, count(distinct d) || ' times (on ' || string_agg(distinct cast(d as string), ', ' order by cast(d as string)) || ')' as answer from f group by 1"""
 )
 def distinct_days(spark, folder):
     return _answers(spark, folder, "How many times did they place an order?")
 
 
 @query(
-    f"""with {_FIVE}, l as (select o_custkey, arg_max(text, (d, -rn)) as text, max(d) as d from f group by 1)
+    f"""with {_DATED}, l as (select o_custkey, arg_max(text, (d, -rn)) as text, max(d) as d from f group by 1)
     select o_custkey, ((2000 - year(d)) * 12 + 1 - month(d)) || ' months (' || datediff('day', d, date '2000-01-01') || ' days, or ' || (datediff('day', d, date '2000-01-01') + 1)
       || ' inclusive) since ' || substr(text, 1, 60) || ' (' || cast(d as string) || ')' as answer from l"""
 )

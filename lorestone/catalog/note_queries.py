@@ -420,18 +420,17 @@ def level_nodes(spark, folder):
     return C.summary_levels(m)
 
 
-@query(
-    f"""with recursive b as (select row_number() over (order by day, name) as pos, day, project from {MEMO_SQL}),
-    lv as (select 0 as level, pos, day as first, day as last from b),
-    l1 as (select 1 as level, (pos - 1) // 4 + 1 as pos, min(day) as first, max(day) as last from b group by 2),
-    l2 as (select 2 as level, (pos - 1) // 4 + 1 as pos, min(first) as first, max(last) as last from l1 group by 2),
-    l3 as (select 3 as level, (pos - 1) // 4 + 1 as pos, min(first) as first, max(last) as last from l2 group by 2),
-    l4 as (select 4 as level, (pos - 1) // 4 + 1 as pos, min(first) as first, max(last) as last from l3 group by 2),
-    l5 as (select 5 as level, (pos - 1) // 4 + 1 as pos, min(first) as first, max(last) as last from l4 group by 2)
-    select level, pos, first, last from lv union all from l1 union all from l2 union all from l3 union all from l4 union all from l5"""
-)
+def _levels_sql(most: int = 14) -> str:
+    """A level above each one that has more than one node; 4 ** 14 leaves are far more than the test tables have."""
+    steps = [f"l0 as (select 0 as level, row_number() over (order by day, name) as pos, day as first, day as last from {MEMO_SQL})"]
+    for k in range(most):
+        steps.append(f"l{k + 1} as (select {k + 1} as level, (pos - 1) // 4 + 1 as pos, min(first) as first, max(last) as last from l{k} where (select count(*) from l{k}) > 1 group by 2)")
+    return "with " + ",\n".join(steps) + " " + " union all ".join(f"select level, pos, first, last from l{k}" for k in range(most + 1))
+
+
+@query(_levels_sql())
 def summary_levels(spark, folder):
-    return level_nodes(spark, folder).where("level <= 5").select("level", "pos", "first", "last")
+    return level_nodes(spark, folder).select("level", "pos", "first", "last")
 
 
 @query()

@@ -2,16 +2,16 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
 from ..functions.vectors import unit
+from ..operators import blockindex as B
 from ..operators import index as I
 from ..operators import search as S
 from ..plans.scale import by_score, top_per_key
+from ..session import new_folder
 from .base import MEMO_SQL, derive, derive_sql, memo, query, table
 from .text_queries import _TRACE_TOKENS, chain_sql, words_sql
 
@@ -79,6 +79,34 @@ def stored_index_search(spark, folder):
     return top.select("query_id", "para_id", F.round("score", 6).alias("score"), "rank")
 
 
+@query(f"with {bm25_sql(DOC_P, BENCH_Q)} select query_id, para_id, round(score, 6) as score, rank from ({rank_sql('scores', 10)})")
+def block_search(spark, folder):
+    """The same best paragraphs, from blocks of postings of which only those that can matter are scored."""
+    out = new_folder(spark)
+    B.write_blocks(documents_as_paragraphs(spark, folder).select("para_id", "text"), out, width=16, buckets=8)
+    top, _ = B.search_blocks(spark, out, benchmark_queries(spark, folder), 10)
+    return top.select("query_id", "para_id", F.round("score", 6).alias("score"), "rank")
+
+
+@query(
+    f"""with {bm25_sql(DOC_P, BENCH_Q)},
+    w as (select token, para_id, ln(1 + n / (1 + df)) * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * len / avg_len)) as weight from ptf join pdf using (token) join plen using (para_id) cross join st),
+    sig as (select para_id, min(md5(token)) as s, count(*) as m from ptf group by 1),
+    pl as (select para_id, (row_number() over (order by s, m, para_id) - 1) // 16 as range from sig),
+    bl as (select query_id, range, token, max(weight) as top from w join pl using (para_id) join qt using (token) group by 1, 2, 3),
+    bo as (select query_id, range, sum(top) as bound, count(*) as n from bl group by 1, 2),
+    first as (select query_id, range from bo qualify row_number() over (partition by query_id order by round(bound, 9) desc, range) <= {B.PROBED + 1}),
+    th as (select query_id, score from (select query_id, score, row_number() over (partition by query_id order by score desc) as r from scores join pl using (para_id) join first using (query_id, range)) where r = 10),
+    kept as (select bo.*, f.range is not null or th.score is null or bound >= th.score - 1e-8 as hit from bo left join first f using (query_id, range) left join th using (query_id))
+    select query_id, sum(n)::bigint as n_blocks, sum(case when hit then n else 0 end)::bigint as n_scored from kept group by 1"""
+)
+def block_savings(spark, folder):
+    """Blocks of the query tokens, and those that had to be scored, per query."""
+    out = new_folder(spark)
+    B.write_blocks(documents_as_paragraphs(spark, folder).select("para_id", "text"), out, width=16, buckets=8)
+    return B.search_blocks(spark, out, benchmark_queries(spark, folder), 10)[1]
+
+
 @query(
     """with t as (select doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_]{2,}')) as token from documents),
     d as (select token, count(distinct doc_id) as df from t group by 1)

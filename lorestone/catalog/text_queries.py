@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.code import code_spans, split_code
 from .base import MEMO_SQL, memo, query, table
 
 W = r"[\p{L}\p{N}_]"  # word character in the SQL dialect
@@ -442,33 +443,55 @@ def prospective_queries(spark, folder):
     )
 
 
-_CODE = """concat('\"\"\"Parts of ', p_brand, '.\"\"\"', chr(10), chr(10), 'def price_', p_partkey, '(x):', chr(10), '    return x * ', p_size,
- chr(10), chr(10), 'class Part', p_partkey, ':', chr(10), '    \"\"\"', p_name, '\"\"\"', chr(10), '    def size_of_part(self):', chr(10), '        return ', p_size)"""
+#: Python, or Rust for every third part; some functions are longer than a thousand characters
+_CODE = """case when p_partkey % 3 = 0 then concat('// Parts of ', p_brand, ' { not a block', chr(10), 'pub struct Part', p_partkey, ' {', chr(10), '    size: u32, // ', p_name, chr(10), '}', chr(10), chr(10),
+  'impl Part', p_partkey, ' {', chr(10), '    pub fn size(&self) -> u32 {', chr(10), '        self.size + ', p_size, chr(10), '    }', chr(10), '}')
+ else concat('\"\"\"Parts of ', p_brand, '.\"\"\"', chr(10), chr(10), 'def price_', p_partkey, '(x):', chr(10), '    return x * ', p_size,
+ repeat(concat(chr(10), '    # def not_', p_size, '(): of a comment'), p_size * 2), chr(10), '    x += 1',
+ chr(10), chr(10), 'class Part', p_partkey, ':', chr(10), '    \"\"\"', p_name, '\"\"\"', chr(10), '    def size_of_part(self):', chr(10), '        return ', p_size) end"""
+
+
+def _code_sql() -> str:
+    """The chunks written out, per language."""
+    nl = "' || chr(10) || '"
+    price = f"'def price_' || p_partkey || '(x):{nl}    return x * ' || p_size || repeat(chr(10) || '    # def not_' || p_size || '(): of a comment', p_size * 2) || '{nl}    x += 1'"
+    method = f"'def size_of_part(self):{nl}        return ' || p_size"
+    struct = f"'pub struct Part' || p_partkey || ' {{{nl}    size: u32, // ' || p_name || '{nl}}}'"
+    impl = f"'impl Part' || p_partkey || ' {{{nl}    pub fn size(&self) -> u32 {{{nl}        self.size + ' || p_size || '{nl}    }}{nl}}}'"
+    python = f"""['Parts of ' || p_brand || '.', {price}, 'class Part' || p_partkey || ':{nl}\"\"\"' || trim(p_name) || '\"\"\"', 'class Part' || p_partkey || ':{nl}' || {method}]"""
+    return f"""with p as (select p_partkey, case when p_partkey % 3 = 0 then [{struct}, {impl}] else {python} end as c from part)
+    select p_partkey, unnest(range(len(c)))::int as pos, unnest(c) as chunk from p"""
+
+
+@query(_code_sql())
+def code_chunks(spark, folder):
+    parts = table(spark, folder, "part").select("p_partkey", F.expr(_CODE).alias("code"))
+    return parts.select("p_partkey", F.posexplode(split_code("code")).alias("pos", "chunk"))
 
 
 @query(
-    """with p as (select p_partkey, unnest([concat('Parts of ', p_brand, '.'), concat('def price_', p_partkey, '(x):', chr(10), '    return x * ', p_size),
-        concat('class Part', p_partkey, ':', chr(10), '\"\"\"', trim(p_name), '\"\"\"'), concat('class Part', p_partkey, ':', chr(10), 'def size_of_part(self):', chr(10), '        return ', p_size)]) as chunk,
-        unnest([1, 2, 3, 4]) as i from part)
-    select p_partkey, (row_number() over (partition by p_partkey order by i) - 1)::int as pos, chunk from p
-      where i in (1, 3) or (i = 2 and length(chunk) > 30) or (i = 4 and length(split_part(chunk, ':' || chr(10), 2)) > 0)"""
+    """with p as (select p_partkey, 'Part' || p_partkey as t, 2 * p_size as n from part),
+    s as (select p_partkey, unnest(case when p_partkey % 3 = 0 then [{'kind': 'struct', 'name': t, 'owner': null, 'first_line': 2, 'last_line': 4}, {'kind': 'impl', 'name': t, 'owner': null, 'first_line': 6, 'last_line': 10},
+        {'kind': 'fn', 'name': 'size', 'owner': t, 'first_line': 7, 'last_line': 9}]
+      else [{'kind': 'def', 'name': 'price_' || p_partkey, 'owner': null, 'first_line': 3, 'last_line': 5 + n}, {'kind': 'class', 'name': t, 'owner': null, 'first_line': 7 + n, 'last_line': 10 + n},
+        {'kind': 'def', 'name': 'size_of_part', 'owner': t, 'first_line': 9 + n, 'last_line': 10 + n}] end, recursive := true) from p)
+    select p_partkey, kind, name, owner, first_line::int as first_line, last_line::int as last_line from s"""
 )
-def code_chunks(spark, folder):
+def code_symbols(spark, folder):
+    """Every definition of the code texts with its owner and lines."""
     parts = table(spark, folder, "part").select("p_partkey", F.expr(_CODE).alias("code"))
-    return parts.select("p_partkey", F.posexplode(T.split_code("code")).alias("pos", "chunk"))
+    return parts.select("p_partkey", F.inline(code_spans("code")))
 
 
 @query(
-    rf"""with w as (select doc_id, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') as w, text from documents),
-    s as (select doc_id, text, array_to_string(w[1:96], ' ') as s, len(w) as n from w)
-    select doc_id, case when length(s) <= 600 then s when trim(regexp_replace(substr(s, 1, 600), ' [^ ]*$', '')) <> '' then trim(regexp_replace(substr(s, 1, 600), ' [^ ]*$', ''))
-      else substr(s, 1, 600) end as chunk, n as n_words from s"""
+    rf"""with recursive w as (select doc_id, 0 as pos, null::varchar as chunk, list_filter(string_split(regexp_replace(text, '\s+', ' ', 'g'), ' '), lambda x: x <> '') as rest, 0 as n from documents
+      union all select doc_id, n, c, case when whole then [substr(rest[1], 601)] || rest[2:] else rest[len(string_split(c, ' ')) + 1:] end, n + 1 from (
+        select doc_id, rest, n, s, case when length(s) <= 600 then s when regexp_matches(substr(s, 1, 600), ' ') then regexp_replace(substr(s, 1, 600), ' [^ ]*$', '') else substr(s, 1, 600) end as c,
+          length(s) > 600 and not regexp_matches(substr(s, 1, 600), ' ') and length(rest[1]) > 600 as whole from (select *, array_to_string(rest[1:96], ' ') as s from w where len(rest) > 0)))
+    select doc_id, pos, chunk from w where chunk is not null"""
 )
 def document_chunks(spark, folder):
-    c = F.col("text")
-    return table(spark, folder, "documents").select(
-        "doc_id", T.chunk_text(c).alias("chunk"), T.token_estimate(c).alias("n_words")
-    )
+    return table(spark, folder, "documents").select("doc_id", F.posexplode(T.text_chunks(F.col("text"))).alias("pos", "chunk"))
 
 
 _FRONT = """concat('---', chr(10), 'type: ', event_type, chr(10), 'date: ', day, chr(10), 'entities:', chr(10), '  - ', who, chr(10), 'project: ', project, chr(10), '---', chr(10), chr(10), text)"""

@@ -11,7 +11,7 @@ from ..operators import traces as R
 from ..operators import vectorindex as X
 from ..operators.consolidate import relation_table
 from ..session import settle
-from .base import MEMO_SQL, memo, query, table
+from .base import MEMO_SQL, derive, memo, query, table
 from .note_queries import PAIRS_SQL, memo_pairs
 from .search_queries import nation_questions
 from .text_queries import _TRACE_TOKENS, STRIP, words_sql
@@ -224,6 +224,33 @@ def priority_merge(spark, folder):
     return merge_priority(first, rest, 5).select("query_id", "rank", "name", "source", F.round("score", 4).alias("score"))
 
 
+#: facts written down by hand; one per nation contests the fact of a module
+_SEED = {
+    "fact_id": "concat('symbols.part_', n_nationkey + 1)", "fact_type": "'location'", "subject": "n_name", "fact": "concat('Part ', n_nationkey + 1, ' is known to ', n_name, '.')",
+    "source": "'seed.jsonl'", "priority": "cast(1 + n_nationkey % 3 as double)", "aliases": "array(n_name)",
+}
+
+
+@query(
+    f"""with t as (select distinct unnest(regexp_extract_all(lower(text), '[a-z0-9][a-z0-9_]{{2,}}')) as t from documents),
+    i as (select 'index.current_size' as fact_id, format('The current unified memory index contains {{:,}} documents, {{:,}} paragraphs, and {{:,}} unique tokens.', (select count(*) from documents), (select count(*) from documents), (select count(*) from t)) as fact, 4.0::double as priority, 0 as pos
+      union all select 'index.current_timestamp', 'The current unified memory index file was written at 2024-01-31T00:00:00Z.', 3.5, 0),
+    s as (select 'symbols.part_' || p_partkey as fact_id, 'The part_' || p_partkey || ' module is at src/part_' || p_partkey || '.py. Top-level symbols include ' ||
+      case when p_partkey % 3 = 0 then 'Part' || p_partkey || ', Part' || p_partkey else 'price_' || p_partkey || ', Part' || p_partkey end || '.' as fact, 2.0::double as priority, 1 as pos from part),
+    n as (select 'symbols.part_' || (n_nationkey + 1), 'Part ' || (n_nationkey + 1) || ' is known to ' || n_name || '.', (1 + n_nationkey % 3)::double, 2 from nation)
+    select fact_id, fact, priority from (select *, row_number() over (partition by fact_id order by priority desc, pos) as r from (select * from i union all select * from s union all select * from n)) where r = 1"""
+)
+def compiled_facts(spark, folder):
+    """Facts about the index, about modules and written by hand, the strongest of each id."""
+    from .text_queries import _CODE
+
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    index = R.index_facts(docs, docs, F.lit("2024-01-31T00:00:00Z"), "index")
+    files = table(spark, folder, "part").select(F.concat(F.lit("src/part_"), "p_partkey", F.lit(".py")).alias("path"), F.expr(_CODE).alias("code"))
+    seed = derive(table(spark, folder, "nation"), _SEED)
+    return R.compile_facts(index, R.symbol_facts(files), seed).select("fact_id", "fact", "priority")
+
+
 # ---- vectors -----------------------------------------------------------------------------------------------
 
 _UNIT = "list_transform(embedding, lambda x: x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))))"
@@ -277,7 +304,7 @@ def memo_chunks(spark, folder):
         F.expr("concat(case when event_id % 10 = 0 then 'docs/internal/' else 'notes/' end, project, '/', name)").alias("path"),
         F.col("day").alias("date"), F.lit("note").alias("doc_type"), F.lit(0).alias("para_idx"), "text",
     )
-    return X.chunk_table(m)
+    return X.chunk_table(m, private=("docs/internal",))
 
 
 @query(

@@ -2,12 +2,8 @@
 
 from __future__ import annotations
 
-from difflib import SequenceMatcher
-
-import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType
 
 from . import fixed
 from .common import (
@@ -23,6 +19,7 @@ from .common import (
     window_text,
     words3,
 )
+from .matching import block_ratio, block_ratio_reaches
 
 ISO = r"\d{4}-\d{2}-\d{2}"
 MONTH_DAY = r"(?:" + fixed.MONTH_NAMES + r")\s+\d{1,2}(?:,?\s*\d{4})?"
@@ -276,26 +273,20 @@ def answers_match(predicted: Column, truth: Column, threshold: float = 0.25) ->
     )
 
 
-@F.pandas_udf(DoubleType())
-def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Matching-block ratio of two strings."""
-    return pd.Series(
-        [None if x is None or y is None else SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)],
-        dtype="float64",
-    )
-
-
 def fuzzy_match(candidate: Column, gold: Column, threshold: float = 0.7) -> Column:
+    """Whether an answer holds the other, or their matching blocks reach the threshold; pairs that are decided are not compared."""
     c, g = strip(F.lower(candidate)), strip(F.lower(gold))
+    some = (candidate != "") & (gold != "")
     close = c.contains(g) | g.contains(c)
-    return F.when((candidate == "") | (gold == ""), F.lit(False)).otherwise(
-        F.when(close, F.lit(True)).otherwise(sequence_ratio(c, g) >= threshold)
-    )
+    open_ = some & ~close
+    alike = block_ratio_reaches(F.when(open_, c), F.when(open_, g), threshold)
+    return F.when(~some, F.lit(False)).when(close, F.lit(True)).otherwise(alike)
 
 
 def lexical_similarity(a: Column, b: Column) -> Column:
     x, y = normalize_answer(a), normalize_answer(b)
-    return F.when((x == "") | (y == ""), F.lit(0.0)).otherwise(sequence_ratio(x, y))
+    some = (x != "") & (y != "")
+    return F.when(~some, F.lit(0.0)).otherwise(block_ratio(F.when(some, x), F.when(some, y)))
 
 
 def normalize_number(c: Column) -> Column:

@@ -76,6 +76,20 @@ def semantic_memories(clustered: DataFrame) -> DataFrame:
     return lines.unionByName(paras)
 
 
+def memory_records(clustered: DataFrame, today: str, state: str = "active", confidence: float = 0.8) -> DataFrame:
+    """One memory per cluster with its place and lifecycle fields.
+
+    ``memory_id`` is the file name by date, project and type.  Of clusters with one file the later one counts, as it is written last.
+    """
+    rows = cluster_summary(clustered)
+    topic = F.substring(F.regexp_replace(F.lower(F.concat("project", F.lit("-"), "main_type")), "[^a-z0-9_-]", "-"), 1, 60)
+    named = rows.select(
+        "category", F.concat("date", F.lit("_"), topic, F.lit(".md")).alias("memory_id"), "project", "cluster", "date", "n_traces", "n_entities", "n_key_lines",
+        F.lit(confidence).alias("confidence"), F.lit(state).alias("validity_state"), F.lit(today).alias("last_validated"), F.lit(today).alias("last_accessed"),
+    )
+    return best_per_key(named, ["category", "memory_id"], [F.desc("cluster"), F.desc("project")])
+
+
 def entity_table(traces: DataFrame, project_names: list[str] | None = None) -> DataFrame:
     """(id, type, label, first_seen, trace_count) over traces with name, date and entities."""
     rows = traces.select("date", F.explode(F.array_distinct("entities")).alias("id"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.code import split_code
 from ..plans.scale import by_score, top_per_key
 
 MIN_FILE_CHARS, MAX_FILE_CHARS = 50, 1_000_000
@@ -26,7 +27,7 @@ def build_paragraphs(documents: DataFrame, code_types: tuple[str, ...] = ("code"
     has_type = "doc_type" in documents.columns
     is_code = F.col("doc_type").isin(*code_types) if has_type else F.lit(False)
     prose = T.split_paragraphs(text)
-    units = F.when(is_code, T.split_code(text)).otherwise(prose) if has_type else prose
+    units = F.when(is_code, split_code(text)).otherwise(prose) if has_type else prose
     kept = documents.where(F.length(text).between(MIN_FILE_CHARS, MAX_FILE_CHARS))
     if "date" not in documents.columns:
         kept = kept.withColumn("date", T.document_date(text, name))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import schemas
 from ..functions import dates as D
 from ..functions import fixed
 from ..functions.common import strip, str_array
@@ -37,10 +38,10 @@ def actor_slug(c: Column, default: str = "unknown", presence: str = "presence@")
     )
 
 
-def feed_findings(rows: DataFrame, default_project: str = "GENERAL") -> DataFrame:
+def feed_findings(rows: DataFrame, default_project: str = "GENERAL", every: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Findings of feed rows (line_no, ty, s, t, p, h): explicit kinds or ``Finding:`` markers.
 
-    Rows that are no memory candidate are left out.
+    Rows that are no memory candidate are left out, or with ``every`` have no statement.  ``keep`` names columns to carry on.
     """
     p = F.col("p")
     kind = F.replace(strip(F.coalesce("ty", F.lit(""))), F.lit("-"), F.lit("_"))
@@ -55,7 +56,7 @@ def feed_findings(rows: DataFrame, default_project: str = "GENERAL") -> DataFram
     project = project_slug(F.col("s"), default_project)
     session = F.regexp_replace(F.regexp_replace(F.lower(F.coalesce(F.nullif(strip(F.col("h")), F.lit("")), F.concat(F.lit("feed-line-"), F.col("line_no").cast("string")))), "[^a-z0-9]+", "-"), "^-+|-+$", "")
     return rows.select(
-        "line_no", statement.alias("statement"), subkind.alias("subkind"),
+        *keep, "line_no", statement.alias("statement"), subkind.alias("subkind"),
         F.lit("producer_asserted").alias("evidence_kind"), F.lit("bounded_support").alias("claim_status"),
         F.lit("traceable_unchecked").alias("freshness"), F.concat(F.lit("feed:"), F.col("line_no").cast("string")).alias("evidence_ref"),
         F.struct(
@@ -64,15 +65,36 @@ def feed_findings(rows: DataFrame, default_project: str = "GENERAL") -> DataFram
         ).alias("provenance"),
         F.struct(ts.alias("valid_from"), F.lit(None).cast("double").alias("valid_to"), ts.alias("observed_at")).alias("validity"),
         F.lit("active").alias("lifecycle"),
-    ).where("statement <> ''")
+    ).where(F.lit(True) if every else F.col("statement") != "")
 
 
-def new_rows(rows: DataFrame, cursor: int, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(rows behind the cursor, one row with the next cursor)."""
-    fresh = rows.where(F.col("line_no") > cursor)
-    if limit is not None:
-        fresh = fresh.where(F.col("line_no") <= cursor + limit)
-    return fresh, fresh.agg(F.coalesce(F.max("line_no"), F.lit(cursor)).alias("last_seq"), F.count("*").alias("scanned"))
+def feed_verdicts(lines: DataFrame, default_project: str = "GENERAL", strict: bool = False) -> DataFrame:
+    """Every feed line with what became of it: the columns of a finding, ``status``, ``reason`` and ``violations``.
+
+    ``lines`` has line_no, value and problem.  A line is ``rejected`` for a problem of its form, for a rejection at
+    the gate or, if ``strict``, for a breach of the write contract; ``skipped`` if it is no memory candidate; else ``admitted``.
+    Breaches are told in ``violations`` in either case.
+    """
+    # a broken line may still parse in part
+    parsed = F.when(F.col("problem").isNull(), F.from_json("value", schemas.FEED))
+    rows = lines.select("line_no", "problem", parsed.alias("r")).select("line_no", "problem", "r.*")
+    found = admit(feed_findings(rows, default_project, every=True, keep=("problem", "s", "t")))
+    wrote = found.select("*", F.col("statement").alias("content"), F.col("s").alias("project"), F.col("s").alias("actor"), F.col("t").alias("timestamp"), F.array().cast("array<string>").alias("entities"))
+    # a feed routes by project itself, so a producer need not name one
+    both = inspect_writes(wrote, need_project=False)
+    candidate = F.coalesce(F.col("statement") != "", F.lit(False))
+    breach = candidate & (F.size("violations") > 0)
+    reason = (
+        F.when(F.col("problem").isNotNull(), F.col("problem"))
+        .when(breach & F.lit(strict), F.concat(F.lit("write contract: "), F.array_join("violations", "; ")))
+        .when(candidate, F.col("rejection"))
+    )
+    status = F.when(reason.isNotNull(), "rejected").when(candidate, "admitted").otherwise("skipped")
+    shown = [c for c in found.columns if c not in ("problem", "s", "t", "rejection")]
+    return both.select(
+        *shown, "producer", F.when(candidate & F.col("problem").isNull(), F.col("violations")).otherwise(F.array().cast("array<string>")).alias("violations"),
+        status.alias("status"), reason.alias("reason"),
+    )
 
 
 def norm_axis(c: Column) -> Column:
@@ -96,7 +118,7 @@ def finding_path(subkind: Column, statement: Column) -> Column:
 
 def inspect_writes(
     writes: DataFrame, min_chars: int = 15, need_entities: bool = False, strict: bool = False,
-    known_projects: list[str] | None = None,
+    known_projects: list[str] | None = None, need_project: bool = True,
 ) -> DataFrame:
     """Add producer, violations and disposition to (content, project, actor, timestamp, entities)."""
     text = lambda c: strip(F.coalesce(F.col(c), F.lit("")))
@@ -106,7 +128,7 @@ def inspect_writes(
     violations = F.array_compact(
         F.array(
             F.when(content == "", "missing_content").when(failed, "content_too_short"),
-            F.when(text("project") == "", "missing_project").when(~known, "uncontrolled_project"),
+            F.when(F.lit(need_project) & (text("project") == ""), "missing_project").when(~known, "uncontrolled_project"),
             F.when(text("actor") == "", "missing_actor"),
             F.when(D.feed_timestamp(text("timestamp")) <= 0, "missing_timestamp"),
             F.when(

@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +10,7 @@ from ..functions import fixed
 from ..functions.common import contains_any, extract_all, overlap
 from ..plans.ordered import running_sums
 from ..plans.scale import best_per_key
-from ..session import settle
+from ..plans.skyline import RANGE, skyline
 from .index import unnest
 from .ledger import norm_axis
 
@@ -168,49 +165,17 @@ def failure_counts(classified: DataFrame) -> DataFrame:
 # ---- frontier ------------------------------------------------------------------------------------------
 
 
-def _skyline(points: np.ndarray) -> np.ndarray:
-    """Mask of the rows (accuracy, efficiency, -latency) that no other row dominates."""
-    order = np.lexsort((-points[:, 2], -points[:, 1], -points[:, 0]))
-    keep = np.zeros(len(points), dtype=bool)
-    best: np.ndarray = np.empty((0, 3))
-    for i in order:
-        p = points[i]
-        ge = (best >= p).all(axis=1)
-        if not (ge & (best > p).any(axis=1)).any():
-            keep[i] = True
-            best = np.vstack([best, p])
-    return keep
-
-
-def pareto_frontier(points: DataFrame, group: str = "benchmark") -> DataFrame:
-    """Add ``frontier``: not dominated on accuracy, points per 1,000 tokens and latency.
-
-    Only a point that survives within its own part can be on the frontier, so the survivors of
-    ever fewer and larger parts are compared; incomplete points are never on it.
-    """
+def pareto_frontier(points: DataFrame, group: str = "benchmark", size: int = RANGE) -> DataFrame:
+    """Add ``frontier``: not dominated on accuracy, points per 1,000 tokens and latency; incomplete points are never on it."""
     per_k = F.round(F.col("accuracy") * 1000.0 / F.when(F.col("tokens_total") > 0, F.col("tokens_total")), 3)
     full = points.withColumn("efficiency", per_k)
-    live = full.where("efficiency is not null and p95_latency_ms is not null").select(
-        "id", group, F.col("accuracy").cast("double"), F.col("efficiency").cast("double"), F.col("p95_latency_ms").cast("double")
-    )
-
-    def local(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        kept: dict = {}
-        for frame in frames:
-            for name, part in frame.groupby(group):
-                rows = pd.concat([kept[name], part]) if name in kept else part
-                matrix = rows[["accuracy", "efficiency", "p95_latency_ms"]].to_numpy(dtype=float) * np.array([1, 1, -1])
-                kept[name] = rows[_skyline(matrix)]
-        for rows in kept.values():
-            yield rows
-
-    survivors = settle(live.mapInPandas(local, live.schema))
-    parts = (survivors.select(F.spark_partition_id().alias("p")).agg(F.max("p")).first()[0] or 0) + 1
-    while parts > 1:
-        parts = max(1, parts // 8)
-        survivors = settle(survivors.coalesce(parts).mapInPandas(local, live.schema))
-    flags = survivors.select("id", F.lit(True).alias("_f"))
-    return full.join(flags, "id", "left").withColumn("frontier", F.coalesce("_f", F.lit(False))).drop("_f")
+    measures = {"grp": F.col(group), "x": F.col("accuracy").cast("double"), "y": F.col("efficiency").cast("double"), "z": F.col("p95_latency_ms").cast("double")}
+    live = full.select(*[e.alias(n) for n, e in measures.items()]).where("x is not null and y is not null and z is not null")
+    best = skyline(live, size).withColumn("_f", F.lit(True))
+    same = F.lit(True)
+    for n, e in measures.items():
+        same = same & (e.eqNullSafe(best[n]) if n == "grp" else e == best[n])
+    return full.join(best, same, "left").drop(*[best[n] for n in measures]).withColumn("frontier", F.coalesce("_f", F.lit(False))).drop("_f")
 
 
 # ---- presentation and validity -----------------------------------------------------------------------------

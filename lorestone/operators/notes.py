@@ -10,6 +10,7 @@ from ..functions import fixed
 from ..functions import text as T
 from ..functions.common import contains_any, overlap, str_array, strip
 from ..plans import graph as G
+from ..plans.growing import HELD, grown_clusters
 from ..plans.ordered import row_index
 from ..plans.scale import best_per_key, by_score, top_per_key
 from ..plans.simjoin import leaders
@@ -264,23 +265,13 @@ def recent(notes: DataFrame, cutoff: str) -> DataFrame:
     return notes.where((F.col("created") >= cutoff) | (F.col("updated") >= cutoff))
 
 
-def note_clusters(notes: DataFrame, limit: int = 20) -> DataFrame:
-    """(seq, cluster) of notes connected by two or more common keys, for clusters of two and more.
+def note_clusters(notes: DataFrame, held: int = HELD) -> DataFrame:
+    """(seq, cluster, n): notes join the first cluster in order with two of their keywords and entities.
 
-    ``keys`` are keywords and entities.  Notes that share a pair of keys hang on that pair, and the
-    clusters are the connected components of notes and pairs: the closure of growing a cluster,
-    independent of the order of the notes.  Of a note with more than ``limit`` keys every pair is
-    still formed.
+    A cluster's keys grow with the notes that join it, so later notes may reach it by what earlier ones brought.
     """
-    keyed = notes.select(
-        "seq", F.array_sort(F.array_distinct(F.concat("keywords", "entities"))).alias("entities")
-    )
-    hubs = entity_pairs(keyed).select("seq", F.concat_ws("\u0001", "e1", "e2").alias("hub"))
-    first = hubs.groupBy("hub").agg(F.min("seq").alias("src"), F.count("*").alias("n"))
-    edges = hubs.join(first.where("n > 1").select("hub", "src"), "hub").select("src", F.col("seq").alias("dst")).distinct()
-    comp = G.components(notes.select(F.col("seq").alias("node")), edges)
-    sizes = comp.groupBy("component").agg(F.count("*").alias("n")).where("n > 1")
-    return comp.join(sizes, "component").select(F.col("node").alias("seq"), F.col("component").alias("cluster"), "n")
+    keys = F.concat(*[F.coalesce(c, F.array().cast("array<string>")) for c in ("keywords", "entities")])
+    return grown_clusters(notes.select("seq", keys.alias("keys")), held)
 
 
 def cluster_summaries(notes: DataFrame, clusters: DataFrame) -> DataFrame:

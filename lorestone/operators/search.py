@@ -14,6 +14,7 @@ from ..functions.common import contains_any
 from ..functions.vectors import dot
 from ..plans.scale import best_per_key, by_score, top_per_key
 from .index import bm25_scores, placed, unnest
+from .temporal import query_events
 
 
 def structured_filter(
@@ -184,32 +185,32 @@ def best_per_document(ranked: DataFrame, k: int, order: list[Column]) -> DataFra
 
 
 def with_confidence(results: DataFrame) -> DataFrame:
-    """Confidence from score / best score, answer presence and absolute score, then agreement.
+    """Confidence from score / best score, answer presence and absolute score.
 
-    Windows here run over the k results of one query.
+    Windows here and in :func:`agreed` run over the k results of one query.
     """
-    w = W.partitionBy("query_id")
-    top = F.first("score").over(w.orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    top = F.first("score").over(W.partitionBy("query_id").orderBy("rank").rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
     base = F.least(F.lit(1.0), F.col("score") / F.when(top > 0, top).otherwise(1.0))
     has_answer = F.coalesce(F.col("answer"), F.lit("")) != ""
     base = F.when(has_answer, F.least(F.lit(1.0), base + 0.15)).otherwise(base)
-    base = F.when(F.col("score") < 1.0, base * 0.7).otherwise(base)
-    scored = results.withColumn("confidence", F.round(base, 3)).withColumn(
-        "_a", F.when(has_answer, F.lower(F.trim("answer")))
-    )
+    return results.withColumn("confidence", F.round(F.when(F.col("score") < 1.0, base * 0.7).otherwise(base), 3))
+
+
+def agreed(results: DataFrame) -> DataFrame:
+    """Confidence raised where results give the same answer; the last step, over whatever rows were merged."""
+    w = W.partitionBy("query_id")
+    has_answer = F.coalesce(F.col("answer"), F.lit("")) != ""
     same = W.partitionBy("query_id", "_a")
-    counted = scored.withColumn("_n", F.when(F.col("_a").isNotNull(), F.count("*").over(same))).withColumn(
-        "_first", F.min("rank").over(same)
-    )
+    counted = results.withColumn("_a", F.when(has_answer, F.lower(F.trim("answer")))).withColumn(
+        "_n", F.when(F.col("_a").isNotNull(), F.count("*").over(same))
+    ).withColumn("_first", F.min("rank").over(same))
     # the most common answer, the earlier one on a tie
     common = F.first(F.struct("_n", "_a"), ignorenulls=True).over(
         w.orderBy(F.desc_nulls_last("_n"), F.asc("_first")).rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
     )
     agree = (common["_n"] >= 2) & (F.col("_a") == common["_a"])
-    boosted = F.round(F.least(F.lit(1.0), F.col("confidence") + 0.1 * (common["_n"] - 1)), 3)
-    return counted.withColumn(
-        "confidence", F.when(agree, boosted).otherwise(F.col("confidence"))
-    ).drop("_a", "_n", "_first")
+    raised = F.round(F.least(F.lit(1.0), F.coalesce("confidence", F.lit(0.0)) + 0.1 * (common["_n"] - 1)), 3)
+    return counted.withColumn("confidence", F.when(agree, raised).otherwise(F.col("confidence"))).drop("_a", "_n", "_first")
 
 
 def search(
@@ -221,10 +222,12 @@ def search(
     entities: DataFrame | None = None,
     relations: DataFrame | None = None,
     priority: DataFrame | None = None,
+    events: DataFrame | None = None,
 ) -> DataFrame:
     """Full search: (query_id, rank, doc_id, name, source, score, snippet, para_idx, answer, confidence).
 
-    ``paragraphs`` carries doc_id, para_idx, para_type, name, source, path, date and doc_type.
+    ``paragraphs`` carries doc_id, para_idx, para_type, name, source, path, date and doc_type.  With ``events``
+    (event_id, source, date, text) temporal questions also find the documents of matching dated events.
     """
     ranked = boosted_scores(paragraphs, queries, ref_date, candidates)
     if entities is not None and relations is not None:
@@ -234,14 +237,20 @@ def search(
     date = F.coalesce(F.col("date"), F.lit(""))
     low = F.when(temporal, F.lower("query")).otherwise("")
     order = [*temporal_order(low, date, F.col("score")), F.asc("para_id")]
-    found = best_per_document(head.drop("_cut"), k, order)
+    head = head.drop("_cut")
+    if events is not None:
+        head = injected(head, paragraphs, prepare_queries(queries), events, ref_date, k, order)
+        order = [F.asc("_front"), *order]
+    found = best_per_document(head, k, order)
     results = found.select(
         "query_id", "rank", "doc_id", "name", "source", F.round("score", 4).alias("score"),
         F.substring("text", 1, 300).alias("snippet"), "para_idx",
         F.coalesce(A.extract_answer(F.col("query"), F.col("text")), F.lit("")).alias("answer"),
     )
     results = with_confidence(results)
-    return results if priority is None else merge_priority(priority, results, k)
+    if priority is None:
+        return agreed(results)
+    return agreed(merge_priority(priority, results, k))
 
 
 def merge_priority(priority: DataFrame, ranked: DataFrame, k: int, early: float = 1008.0) -> DataFrame:
@@ -277,19 +286,33 @@ def multi_hop(results: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     return top_per_key(scored.drop("rank"), ["query_id"], [F.desc("merged_score"), F.asc("name")], k)
 
 
-def inject_events(results: DataFrame, events: DataFrame, k: int) -> DataFrame:
-    """Put documents of matching dated events in front of the results that lack them.
+def injected(found: DataFrame, paragraphs: DataFrame, queries: DataFrame, events: DataFrame, ref_date: Column, k: int, order: list[Column]) -> DataFrame:
+    """``found`` with the first paragraphs of documents that dated events point to, in front of it at score 2.0.
 
-    ``events`` has (query_id, doc_id, event_rank); injected rows get score 2.0.
+    For temporal questions the best three events are looked up one by one: an event whose document is among the first k
+    paragraphs, counting those put in front before it, adds nothing.  ``events`` has event_id, source (a document's name), date
+    and text; rows in front have a negative ``_front``, the last event first.
     """
-    missing = events.where("event_rank <= 3").join(
-        results.where(F.col("rank") <= k).select("query_id", "doc_id"), ["query_id", "doc_id"], "left_anti"
-    )
-    front = best_per_key(missing, ["query_id", "doc_id"], [F.asc("event_rank")]).select(
-        "query_id", "doc_id", F.lit(2.0).alias("score"), (-F.col("event_rank")).alias("rank")
-    )
-    both = front.unionByName(results.select("query_id", "doc_id", "score", "rank"))
-    return top_per_key(both.withColumnRenamed("rank", "_o"), ["query_id"], [F.asc("_o")], k).drop("_o")
+    asked = queries.where(F.col("intent.type") == "temporal")
+    hits = query_events(events, asked.select("query_id", "query"), ref_date, 3).select("query_id", "event_id", "rank")
+    named = hits.join(events.select("event_id", F.col("source").alias("name")), "event_id").select("query_id", "rank", "name")
+    # of documents with one name the first, of its paragraphs the first
+    owners = paragraphs.join(named.select("name").distinct(), "name", "left_semi").groupBy("name").agg(F.min(F.struct("doc_id", "para_idx", "para_id")).alias("own"))
+    head = top_per_key(found.select("query_id", "doc_id", "query", "intent", "date", "score", "para_id"), ["query_id"], order, k, "at")
+    first = head.groupBy("query_id", "doc_id").agg(F.min("at").alias("at"))
+    called = named.join(owners, "name").select("query_id", "rank", F.col("own.doc_id").alias("doc_id"), F.col("own.para_id").alias("para_id"))
+    called = called.join(first, ["query_id", "doc_id"], "left")
+    lists = called.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "doc_id", "para_id", "at"))).alias("events"))
+    put = F.array().cast("array<struct<rank:int,doc_id:bigint,para_id:bigint>>")
+
+    def step(acc: Column, e: Column) -> Column:
+        there = F.coalesce(e["at"] <= F.lit(k) - F.size(acc), F.lit(False)) | F.exists(acc, lambda x: x["doc_id"] == e["doc_id"])
+        row = F.struct(e["rank"].cast("int").alias("rank"), e["doc_id"].cast("long").alias("doc_id"), e["para_id"].cast("long").alias("para_id"))
+        return F.when(there, acc).otherwise(F.concat(acc, F.array(row)))
+
+    front = lists.select("query_id", F.inline(F.aggregate("events", put, step))).select("query_id", "para_id", (-F.col("rank")).alias("_front"))
+    added = front.join(paragraphs, "para_id").join(asked, "query_id").withColumn("score", F.lit(2.0))
+    return found.withColumn("_front", F.lit(0)).unionByName(added.select(*found.columns, "_front"))
 
 
 def hybrid_scores(

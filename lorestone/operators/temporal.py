@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 from ..functions import dates as D
 from ..functions.answers import months_apart
 from ..functions.common import contains_any, extract_all, let, overlap, strip
+from ..plans.dyadic import pieces, stored_tops
 from ..plans.scale import top_per_key
+from ..session import settle
 from .index import unnest
 
 WORD = r"[a-z0-9]{3,}"
@@ -62,41 +64,64 @@ def same_day(events: DataFrame, of: DataFrame) -> DataFrame:
     ).where("src <> dst")
 
 
+def question_range(queries: DataFrame, ref: Column) -> DataFrame:
+    """(query_id, q, dated, low, high): the dates that a question asks for, null where a side is open."""
+    asked = queries.select("query_id", F.lower("query").alias("q"), D.parse_dates(F.col("query"), ref).alias("dates"))
+    n, first, second = F.size("dates"), F.get("dates", F.lit(0)), F.get("dates", F.lit(1))
+    later, earlier = contains_any(F.col("q"), ["after", "since"]), contains_any(F.col("q"), ["before", "until"])
+    return asked.select(
+        "query_id", "q", (n > 0).alias("dated"),
+        F.when((n > 0) & later, first).when((n > 1) & ~earlier, first).alias("low"),
+        F.when((n > 0) & ~later & earlier, first).when((n > 1) & ~later, second).alias("high"),
+    )
+
+
+def date_index(events: DataFrame, k: int) -> tuple[DataFrame, DataFrame, int]:
+    """(dates, tops, levels): places of the dates present, and for each dyadic range of them the first k events.
+
+    ``tops`` has kind ``newest``, ``oldest`` or ``any`` (smallest event_id).  Within a date all three take
+    the smallest ids, so a date with any number of events gives k rows to the levels above.
+    """
+    # the dates present are bounded by the calendar
+    dates = settle(events.groupBy("date").agg(F.lit(0).alias("_")).select("date", (F.row_number().over(W.orderBy("date")) - 1).cast("long").alias("place")))
+    count = dates.count()
+    levels = max(count - 1, 0).bit_length()
+    head = settle(top_per_key(events.select("event_id", "date"), ["date"], [F.asc("event_id")], k).drop("rank").join(dates, "date"))
+    orders = {
+        "newest": [F.desc("place"), F.asc("event_id")], "oldest": [F.asc("place"), F.asc("event_id")], "any": [F.asc("event_id")],
+    }
+    return dates, settle(stored_tops(head, "place", levels, orders, k)), levels
+
+
 def query_events(events: DataFrame, queries: DataFrame, ref: Column, k: int = 5) -> DataFrame:
     """(query_id, event_id, date, overlap, rank): events by word overlap inside the asked dates.
 
     after/since, before/until and two dates bound the range; a question with dates also returns
     events without a shared word.  Newest and oldest questions are ordered by date.
+
+    Events with a shared word come through the words.  Of the others a question needs at most k, the first of its range by
+    its own order, and these are stored for dyadic ranges of dates: whoever is ahead of such an event by date and id is ahead of
+    it with shared words too.
     """
-    low = F.lower("query")
-    asked = queries.select("query_id", low.alias("q"), D.parse_dates(F.col("query"), ref).alias("dates")).select(
-        "query_id", "q", "dates",
-        F.when((F.size("dates") > 0) & contains_any(F.col("q"), ["after", "since"]), F.col("dates")[0])
-        .when((F.size("dates") > 1) & ~contains_any(F.col("q"), ["before", "until"]), F.col("dates")[0]).alias("low"),
-        F.when((F.size("dates") > 0) & ~contains_any(F.col("q"), ["after", "since"]) & contains_any(F.col("q"), ["before", "until"]), F.col("dates")[0])
-        .when((F.size("dates") > 1) & ~contains_any(F.col("q"), ["after", "since"]), F.get("dates", F.lit(1))).alias("high"),
-    )
-    words = asked.select("query_id", unnest(F.array_distinct(extract_all(F.col("q"), WORD)), "token"))
-    held = events.select("event_id", unnest(F.array_distinct(extract_all(F.lower("text"), WORD)), "token"))
-    hits = held.where("token is not null").join(words, "token").groupBy("query_id", "event_id").agg(
-        F.count("*").alias("overlap")
-    )
-    # the dates present are bounded by the calendar; a dated question picks its days among them
-    days = events.agg(F.array_sort(F.collect_set("date"))).scalar()
-    wanted = (
-        asked.where("size(dates) > 0").select("query_id", "low", "high", F.explode(days).alias("date"))
-        .where("(low is null or date >= low) and (high is null or date <= high)")
-        .select("query_id", "date")
-    )
-    dated = events.select("event_id", "date").join(wanted, "date").join(
-        hits, ["query_id", "event_id"], "left"
-    ).select("query_id", "event_id", "date", F.coalesce("overlap", F.lit(0)).alias("overlap"))
-    plain = hits.join(asked.where("size(dates) = 0").select("query_id"), "query_id", "left_semi").join(
-        events.select("event_id", "date"), "event_id"
-    ).select("query_id", "event_id", "date", "overlap")
+    asked = settle(question_range(queries, ref))
+    words = asked.select("query_id", "low", "high", unnest(F.array_distinct(extract_all(F.col("q"), WORD)), "token")).where("token is not null")
+    held = events.select("event_id", "date", unnest(F.array_distinct(extract_all(F.lower("text"), WORD)), "token"))
+    hits = held.where("token is not null").join(words, "token").where("(low is null or date >= low) and (high is null or date <= high)")
+    hits = hits.groupBy("query_id", "event_id").agg(F.first("date").alias("date"), F.count("*").alias("overlap"))
     newest = contains_any(F.col("q"), ["latest", "recent", "last", "newest"])
     oldest = contains_any(F.col("q"), ["first", "earliest", "oldest", "original"])
-    rows = dated.unionByName(plain).join(asked.select("query_id", "q"), "query_id")
+    dates, tops, levels = date_index(events, k)
+    # one row with the dates present
+    known = dates.agg(F.array_sort(F.collect_list("date")).alias("known")).withColumn("one", F.lit(1))
+    low = F.when(F.col("low").isNull(), 0).otherwise(F.size(F.filter("known", lambda d: d < F.col("low"))))
+    end = F.when(F.col("high").isNull(), F.size("known")).otherwise(F.size(F.filter("known", lambda d: d <= F.col("high"))))
+    wanted = asked.where("dated").withColumn("one", F.lit(1)).join(known, "one").select(
+        "query_id", F.when(newest, "newest").when(oldest, "oldest").otherwise("any").alias("kind"), F.inline(pieces(low, end, levels)),
+    )
+    near = tops.join(wanted, ["kind", "level", "node"]).select("query_id", "event_id", "date").join(
+        hits.select("query_id", "event_id"), ["query_id", "event_id"], "left_anti"
+    )
+    rows = hits.unionByName(near.withColumn("overlap", F.lit(0).cast("long"))).join(asked.select("query_id", "q"), "query_id")
     order = [
         F.desc(F.when(newest, F.col("date"))), F.asc(F.when(oldest & ~newest, F.col("date"))),
         F.desc("overlap"), F.asc("event_id"),

@@ -9,6 +9,7 @@ from ..functions import answers as A
 from ..functions import dates as D
 from ..functions import fixed
 from ..functions import text as T
+from ..functions.code import code_spans
 from ..functions.common import contains_any, let, overlap, rule_chain, str_array, strip
 from ..plans.scale import best_per_key, by_score, top_per_key
 from ..session import settle
@@ -300,6 +301,45 @@ def compiled_results(matches: DataFrame, facts: DataFrame, least: float = 8.0) -
     )
 
 
+def index_facts(documents: DataFrame, paragraphs: DataFrame, built: Column, source: str) -> DataFrame:
+    """The size and the time of an index as two compiled facts; ``built`` is the time as text."""
+    tokens = paragraphs.select(unnest(T.index_tokens(F.col("text")), "t")).where("t is not null").select("t").distinct()
+    count = F.count("*")
+    n = documents.agg(count.alias("d")).withColumns({"p": paragraphs.agg(count).scalar(), "u": tokens.agg(count).scalar()})
+    comma = lambda c: F.format_number(c, 0)
+    size = F.concat(
+        F.lit("The current unified memory index contains "), comma("d"), F.lit(" documents, "), comma("p"), F.lit(" paragraphs, and "), comma("u"), F.lit(" unique tokens."),
+    )
+    row = lambda name, kind, subject, fact, weight, aliases: F.struct(
+        F.lit(name).alias("fact_id"), F.lit(kind).alias("fact_type"), F.lit(subject).alias("subject"), fact.alias("fact"),
+        F.lit(source).alias("source"), built.alias("valid_from"), F.lit(weight).alias("priority"), str_array(aliases).alias("aliases"),
+    )
+    made = F.concat(F.lit("The current unified memory index file was written at "), built, F.lit("."))
+    return n.select(F.inline(F.array(
+        row("index.current_size", "metric", "Unified memory index size", size, 4.0, fixed.INDEX_SIZE_ALIASES),
+        row("index.current_timestamp", "temporal", "Unified memory index build timestamp", made, 3.5, fixed.INDEX_TIME_ALIASES),
+    )))
+
+
+def symbol_facts(files: DataFrame, shown: int = 20) -> DataFrame:
+    """One compiled fact per module that defines something at its top level, from (path, code).
+
+    The fact names the first ``shown`` symbols, as the sentence is for reading; ``symbols`` holds them all.  Test modules are
+    left out.
+    """
+    stem = F.regexp_replace(F.regexp_extract("path", "[^/]*$", 0), r"\.[^.]*$", "")
+    top = F.transform(F.filter(code_spans("code"), lambda s: s["owner"].isNull()), lambda s: s["name"])
+    rows = files.select("path", stem.alias("stem"), top.alias("symbols")).where("symbols is not null and size(symbols) > 0 and stem not like 'test\\_%'")
+    fact = F.concat(
+        F.lit("The "), "stem", F.lit(" module is at "), "path", F.lit(". Top-level symbols include "), F.array_join(F.slice("symbols", 1, shown), ", "), F.lit("."),
+    )
+    return rows.select(
+        F.concat(F.lit("symbols."), "stem").alias("fact_id"), F.lit("location").alias("fact_type"), F.concat("stem", F.lit(" symbols")).alias("subject"),
+        fact.alias("fact"), F.col("path").alias("source"), F.lit(2.0).alias("priority"),
+        F.array(F.concat(F.lit("where are the "), F.translate("stem", "_", " "), F.lit(" functions"))).alias("aliases"), "symbols",
+    )
+
+
 def compile_facts(*sources: DataFrame) -> DataFrame:
     """Join fact tables in order and keep the best of each id."""
     merged = None

@@ -18,13 +18,15 @@ from ..plans.scale import best_per_key, by_score, top_per_key
 MAX_PROBES = 20_000
 
 
-def chunk_table(paragraphs: DataFrame, include_private: bool = False) -> DataFrame:
-    """Chunks of the paragraphs; the first of equal chunks stays.
+def chunk_table(paragraphs: DataFrame, private: tuple[str, ...] = ()) -> DataFrame:
+    """Chunks of the paragraphs; the first of equal chunks stays.  Paths that hold one of ``private`` are left out.
 
     ``paragraphs`` has para_id, source, name, path, date, doc_type, para_idx and text.
     """
-    public = paragraphs if include_private else paragraphs.where(~is_private_path(F.col("path")))
-    rows = public.withColumn("chunk", T.chunk_text(F.col("text")))
+    public = paragraphs.where(~is_private_path(F.col("path"), private)) if private else paragraphs
+    # all chunks of a paragraph; a blank one still has its empty chunk, which validation reports
+    parts_ = T.text_chunks(F.col("text"))
+    rows = public.withColumn("_chunks", parts_).withColumn("chunk", F.explode(F.when(F.size("_chunks") > 0, F.col("_chunks")).otherwise(F.array(F.lit(""))))).drop("_chunks")
     # fields are joined by NUL bytes
     parts = [F.col("source"), F.col("name"), F.col("para_idx").cast("string"), F.col("chunk")]
     nul = F.unhex(F.lit("00"))
@@ -44,10 +46,10 @@ def chunk_table(paragraphs: DataFrame, include_private: bool = False) -> DataFra
     return best_per_key(chunks, ["chunk_id"], [F.asc("ordinal")])
 
 
-def is_private_path(path: Column) -> Column:
+def is_private_path(path: Column, private: tuple[str, ...]) -> Column:
     p = F.translate(path, "\\", "/")
     out = F.lit(False)
-    for marker in fixed.PRIVATE_PATH_MARKERS:
+    for marker in private:
         out = out | p.contains(marker)
     return out
 

@@ -15,11 +15,12 @@ from ..functions import text as T
 from ..functions.common import strip
 from ..functions.vectors import dequantize, quantize
 
-SKIP_PARTS = ["/ARCHIVE/", "/DOCX_ARCHIVE/", "/ACADEMIA_INPUT/", "/SWARM_INPUT/", "/PDF EXPORTS/"]
 
+def text_tree(spark: SparkSession, roots: dict[str, str], glob: str = "*.md", skip: tuple[str, ...] = ()) -> DataFrame:
+    """(source, path, name, text, modified) of every matching file below the roots, one row per file.
 
-def text_tree(spark: SparkSession, roots: dict[str, str], glob: str = "*.md", skip: list[str] | None = None) -> DataFrame:
-    """(source, path, name, text, modified) of every matching file below the roots, one row per file."""
+    Files whose path holds one of ``skip`` are left out.
+    """
     out = None
     for source, root in roots.items():
         rows = (
@@ -31,7 +32,7 @@ def text_tree(spark: SparkSession, roots: dict[str, str], glob: str = "*.md", sk
             )
         )
         out = rows if out is None else out.unionByName(rows)
-    for part in SKIP_PARTS if skip is None else skip:
+    for part in skip:
         out = out.where(~F.col("path").contains(part))
     return out
 
@@ -236,6 +237,40 @@ def write_memories(parts: DataFrame, path: str, category: Column) -> None:
     parts.withColumn("category", category).write.mode("overwrite").partitionBy("category").parquet(path)
 
 
+def commit_log(spark: SparkSession, path: str, record: str = "\x1e", field: str = "\x1f") -> DataFrame:
+    """(sha, message, author, ts, body) from a text dump of a commit log.
+
+    Each commit begins with the ``record`` mark and has its fields behind ``field`` marks, as in
+    ``git log --format=%x1e%H%x1f%s%x1f%an%x1f%at%x1f%b``.  Spark cuts the file at the record marks, so bodies may have any
+    number of lines and a large dump is read by many tasks.  Records without four fields or a whole time are left out.
+    """
+    parts = F.split("value", field, -1)
+    rows = spark.read.option("lineSep", record).text(path).select(parts.alias("f")).where(F.size("f") >= 4)
+    at = F.col("f")[3].try_cast("long")
+    return rows.select(
+        strip(F.col("f")[0]).alias("sha"), F.col("f")[1].alias("message"), F.col("f")[2].alias("author"), at.alias("ts"),
+        strip(F.coalesce(F.get("f", F.lit(4)), F.lit(""))).alias("body"),
+    ).where("sha <> '' and ts is not null")
+
+
+def new_commits(log: DataFrame, seen: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(commits behind the last seen one of their project, the new last ones) of a log with a column ``project``.
+
+    ``seen`` has (project, sha).  A log lists a project's commits by time, ties by sha; where the seen one is not in it, all count.
+    """
+    order = F.struct("ts", "sha")
+    marks = seen.join(log.select("project", "sha", order.alias("mark")), ["project", "sha"]).select("project", "mark")
+    fresh = log.join(marks, "project", "left").where(F.col("mark").isNull() | (order > F.col("mark"))).drop("mark")
+    last = log.groupBy("project").agg(F.max(order)["sha"].alias("sha"))
+    return fresh, last.unionByName(seen.join(last.select("project"), "project", "left_anti").select("project", "sha"))
+
+
+def commit_stimuli(commits: DataFrame) -> DataFrame:
+    """(text, source, project, timestamp) of commits, as the observer takes them in."""
+    text = F.concat("project", F.lit(": "), "message", F.lit(" (by "), "author", F.lit(")"))
+    return commits.select(text.alias("text"), F.concat(F.lit("git-"), "project").alias("source"), "project", F.col("ts").alias("timestamp"))
+
+
 def corpus_chunks(spark: SparkSession, roots: dict[str, str], glob: str = "*.txt") -> DataFrame:
     """Normalised chunks of text files."""
     files = text_tree(spark, roots, glob)

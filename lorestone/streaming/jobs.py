@@ -7,18 +7,23 @@ overwrite it when a batch is run again, so a restart neither loses nor repeats r
 from __future__ import annotations
 
 import json
+import math
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
 
 from .. import schemas
 from ..functions import text as T
 from ..operators import ledger as L
 from ..operators import notes as N
+from ..session import settle
+from .feed_source import feed_lines, save_cursor
 
 
 def batch_sink(path: str, prepare: Callable[[DataFrame], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
@@ -31,13 +36,14 @@ def batch_sink(path: str, prepare: Callable[[DataFrame], DataFrame] | None = Non
     return write
 
 
-def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, sink: Callable[[DataFrame, int], None], checkpoint: str, mode: str = "append") -> StreamingQuery:
     """Process everything that is there now and stop."""
     query = (
         stream.writeStream.foreachBatch(sink).outputMode(mode).option("checkpointLocation", checkpoint)
         .trigger(availableNow=True).start()
     )
     query.awaitTermination()
+    return query
 
 
 # ---- feeds --------------------------------------------------------------------------------------------
@@ -62,6 +68,36 @@ def ingest_feed(spark: SparkSession, folder: str, out: str, checkpoint: str) ->
     run_available(feed_stream(spark, folder), batch_sink(out, admitted), checkpoint)
 
 
+def ingest_lines(
+    spark: SparkSession, path: str, out: str, checkpoint: str, cursor: str | None = None, limit: int | None = None, strict: bool = False
+) -> None:
+    """One pass over the new lines of a feed file.
+
+    Below ``out``, ``finding`` gets the admitted findings, ``reject`` each rejected line with its reason, ``report`` the counts of the
+    batch.  A batch that runs again overwrites what it wrote.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        verdicts = settle(L.feed_verdicts(batch, strict=strict))
+        found = verdicts.where("status = 'admitted'").drop("status", "reason")
+        found = found.withColumn("path", L.finding_path(F.col("subkind"), F.col("statement")))
+        n = lambda c: F.count_if(c).alias
+        status = F.col("status")
+        report = verdicts.agg(
+            F.count("*").alias("scanned"), n(F.col("statement") != "")("candidates"),
+            n(status == "admitted")("admitted"), n(status == "skipped")("skipped"), n(status == "rejected")("rejected"),
+            n(F.size("violations") > 0)("quarantined"), F.max("line_no").alias("last_line"),
+        )
+        for name, rows in (("finding", found), ("reject", verdicts.where("status = 'rejected'").select("line_no", "reason", "producer")), ("report", report)):
+            batch_sink(f"{out}/{name}")(rows, number)
+
+    query = run_available(feed_lines(spark, path, cursor, limit), write, checkpoint)
+    ends = [json.loads(p.json)["sources"][0]["endOffset"] for p in query.recentProgress]
+    ends = [json.loads(e) if isinstance(e, str) else e for e in ends if e]
+    if cursor and ends:
+        save_cursor(cursor, ends[-1])
+
+
 # ---- watched files ----------------------------------------------------------------------------------------
 
 
@@ -89,74 +125,121 @@ def observe(spark: SparkSession, folder: str, out: str, checkpoint: str) -> None
 # ---- outcomes -----------------------------------------------------------------------------------------------
 
 
-def outcome_events(recalls: DataFrame, writes: DataFrame, shards: int = 8) -> DataFrame:
+def outcome_events(recalls: DataFrame, writes: DataFrame, shards: int = 4) -> DataFrame:
     """One stream of both sides, spread over ``shards`` groups per agent.
 
     A recall goes to one shard, a text to all of them, so the pending recalls of a busy agent are
     held by several tasks.
     """
-    tokens = L.outcome_tokens
-    memory_sets = F.transform("memories", lambda m: tokens(m))
     left = recalls.select(
-        "agent", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int").alias("shard"), "ts",
-        F.col("event_id").cast("string").alias("event_id"), F.to_json(memory_sets).alias("payload"),
+        "agent", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int").alias("shard"), "ts", F.col("event_id").cast("string").alias("event_id"),
+        F.transform("memories", L.outcome_tokens).alias("memories"), F.lit(None).cast("array<string>").alias("words"),
     )
     right = writes.select(
-        "agent", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts",
-        F.lit(None).cast("string").alias("event_id"), F.to_json(tokens(F.col("text"))).alias("payload"),
+        "agent", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts", F.lit(None).cast("string").alias("event_id"),
+        F.lit(None).cast("array<array<string>>").alias("memories"), L.outcome_tokens(F.col("text")).alias("words"),
     )
     return left.unionByName(right)
 
 
-def track_outcomes(
-    stream: DataFrame, ttl: float = 1800.0, share: float = 0.6, least: int = 4, most: int = 512
-) -> DataFrame:
-    """(event_id, was_used) as recalls are echoed or run out of time.
+def _outcomes(names: list[str], used: bool) -> pd.DataFrame:
+    return pd.DataFrame({"event_id": pd.Series(names, dtype=object), "was_used": pd.Series([used] * len(names), dtype=object)})
 
-    ``stream`` comes from :func:`outcome_events` with a watermark on ``ts``.  Pending recalls live in
-    state until a text of the same agent echoes one, their time is over, or more than ``most`` wait
-    in one shard, when the oldest is ruled unused.
+
+class OutcomeTracker(StatefulProcessor):
+    """Pending recalls of one agent and shard, until a text echoes one or its time is over.
+
+    ``pending`` maps a recall to its time and memories, ``due`` the end of a time to the recalls that end there; a timer
+    fires at each end.  Nothing but an echo or its timer removes a recall.
     """
 
-    def step(key: Any, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pending = json.loads(state.get[0]) if state.exists else []
-        done: list[tuple[str, bool]] = []
-
-        def expire(now: float) -> None:
-            done.extend((p["id"], False) for p in pending if p["ts"] < now - ttl)
-            pending[:] = [p for p in pending if p["ts"] >= now - ttl]
-
-        if state.hasTimedOut:
-            expire(state.getCurrentWatermarkMs() / 1000.0)
-        rows = pd.concat(list(frames), ignore_index=True) if not state.hasTimedOut else pd.DataFrame()
-        for row in rows.sort_values(["ts", "event_id"], na_position="last").itertuples() if len(rows) else ():
-            now = row.ts.timestamp()
-            expire(now)
-            payload = json.loads(row.payload)
-            if isinstance(row.event_id, str):
-                usable = [m for m in payload if len(m) >= least]
-                if usable:
-                    pending.append({"id": row.event_id, "ts": now, "m": usable})
-                while len(pending) > most:
-                    done.append((pending.pop(0)["id"], False))
+    def __init__(self, ttl: float, share: float, least: int) -> None:
+        self.ttl, self.share, self.least = int(ttl * 1000), share, least
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.pending = handle.getMapState("pending", "event_id string", "ts bigint, memories string")
+        self.due = handle.getMapState("due", "at bigint", "ids string")
+
+    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows), ignore_index=True)
+        frame["is_text"] = frame["event_id"].isna()
+        held: dict[str, tuple[int, list[set[str]]]] = {k[0]: (v[0], [set(m) for m in json.loads(v[1])]) for k, v in self.pending.iterator()}
+        index: dict[str, set[str]] = defaultdict(set)
+        for name, (_, memories) in held.items():
+            self._enter(index, name, memories)
+        old, ends, used = set(held), defaultdict(list), []
+        for row in frame.sort_values(["ts", "is_text", "event_id"]).itertuples():
+            now = row.ts.value // 1_000_000
+            if not row.is_text:
+                memories = [set(m) for m in row.memories if len(m) >= self.least]
+                if memories and row.event_id not in held:
+                    held[row.event_id] = (now, memories)
+                    ends[now + self.ttl].append(row.event_id)
+                    self._enter(index, row.event_id, memories)
                 continue
-            words = set(payload)
-            hit = [p for p in pending if any(len(words.intersection(m)) / len(m) >= share for m in p["m"])]
-            done.extend((p["id"], True) for p in hit)
-            pending[:] = [p for p in pending if p not in hit]
-        if pending:
-            state.update((json.dumps(pending),))
-            first = int((min(p["ts"] for p in pending) + ttl) * 1000) + 1
-            state.setTimeoutTimestamp(max(first, state.getCurrentWatermarkMs() + 1))
-        elif state.exists:
-            state.remove()
-        yield pd.DataFrame(done, columns=["event_id", "was_used"])
-
-    return stream.groupBy("agent", "shard").applyInPandasWithState(
-        step, "event_id string, was_used boolean", "pending string", "append", GroupStateTimeout.EventTimeTimeout
+            words = set(row.words)
+            for name in set().union(*(index[w] for w in words if w in index)):
+                at, memories = held.get(name, (None, ()))
+                if at is not None and at <= now <= at + self.ttl and any(len(words & m) >= self.share * len(m) - 1e-9 for m in memories):
+                    used.append(name)
+                    del held[name]
+        for name in old - set(held):
+            self.pending.removeKey((name,))
+        for name in set(held) - old:
+            self.pending.updateValue((name,), (held[name][0], json.dumps([sorted(m) for m in held[name][1]])))
+        for at, names in ends.items():
+            before = self.due.getValue((at,))
+            self.due.updateValue((at,), (json.dumps((json.loads(before[0]) if before else []) + names),))
+            self.handle.registerTimer(at)
+        yield _outcomes(used, True)
+
+    def _enter(self, index: dict[str, set[str]], name: str, memories: list[set[str]]) -> None:
+        """An echo misses few tokens of a memory, so it holds one of the longest ``n - ceil(share n) + 1``."""
+        for m in memories:
+            for token in sorted(m, key=lambda t: (-len(t), t))[: len(m) - math.ceil(self.share * len(m) - 1e-9) + 1]:
+                index[token].add(name)
+
+    def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        at = expiredTimerInfo.getExpiryTimeInMs()
+        ended = self.due.getValue((at,))
+        over = [n for n in (json.loads(ended[0]) if ended else []) if self.pending.containsKey((n,))]
+        for name in over:
+            self.pending.removeKey((name,))
+        if ended:
+            self.due.removeKey((at,))
+        yield _outcomes(over, False)
+
+    def close(self) -> None:
+        pass
+
+
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+
+
+def track_outcomes(stream: DataFrame, ttl: float = 1800.0, share: float = 0.6, least: int = 4) -> DataFrame:
+    """(event_id, was_used) as recalls are echoed or run out of time, however many wait.
+
+    ``stream`` comes from :func:`outcome_events` with a watermark on ``ts``.  Within a micro-batch rows are taken in the
+    order of their time; a text that comes in an earlier micro-batch than its recall is not seen.  The state store must be the one of
+    ``keyed_state``.
+    """
+    return stream.groupBy("agent", "shard").transformWithStateInPandas(
+        OutcomeTracker(ttl, share, least), "event_id string, was_used boolean", "append", "eventtime"
     )
 
 
+@contextmanager
+def keyed_state(spark: SparkSession) -> Iterator[None]:
+    """The session with the state store that map state and timers need."""
+    before = spark.conf.get(STATE_STORE)
+    spark.conf.set(STATE_STORE, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(STATE_STORE, before)
+
+
 # ---- windows ---------------------------------------------------------------------------------------------------
 
 
