@@ -33,8 +33,8 @@ def _memories_sql(name: str, keep: str, today: str) -> str:
 
 
 @query(
-    f"""with {_memories_sql('a', "day < '2024-01-15'", '2024-01-15')}, {_memories_sql('b', 'true', '2024-01-31')}
-    select 1 as version, * from a union all select 2, * from b union all select 2, * from a where (category, memory_id) not in (select category, memory_id from b)"""
+    f"""with {_memories_sql('ma', "day < '2024-01-15'", '2024-01-15')}, {_memories_sql('mb', 'true', '2024-01-31')}
+    select 1 as version, * from ma union all select 2, * from mb union all select 2, * from ma where (category, memory_id) not in (select category, memory_id from mb)"""
 )
 def memory_versions(spark, folder):
     """Memories written back twice into a versioned table, read as of both versions."""
