@@ -101,15 +101,16 @@ def apart(p: Column, q: Column) -> Column:
 
 
 def pair_sums(cells: DataFrame) -> DataFrame:
-    """(lang, low, high, f, terms) from (lang, terms_at, no, term, p, p0), summed over the blocks.
+    """(lang, low, high, f, terms) from (lang, terms_at, no, sources, term, p, p0), summed over the blocks.
 
-    A cell is a term of the source numbered ``no``; a row without term tells the ``p0`` of a source, which
+    A cell is a term of the source numbered ``no`` of ``sources``; a row without term tells the ``p0`` of a source, which
     it has for every term that it does not hold.  ``terms`` counts the terms of the two blocks of sources.
     """
     blocks = cells.withColumn("block", F.expr(f"(no - 1) div {SOURCES}"))
-    ends = blocks.groupBy("lang").agg(F.max("block").alias("last"))
-    paired = blocks.join(ends, "lang").withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), "last")))
+    paired = blocks.withColumn("with", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(sources - 1) div {SOURCES}"))))
     paired = paired.select("lang", "terms_at", F.least("block", "with").alias("a"), F.greatest("block", "with").alias("b"), "no", "term", "p", "p0")
+    # dealt by all four, or a language would be one task where an earlier step dealt by it
+    paired = paired.repartition("lang", "terms_at", "a", "b")
 
     def block(key: tuple, part: pa.Table) -> pa.Table:
         a, b = key[2].as_py(), key[3].as_py()
@@ -151,7 +152,7 @@ def divergence(docs: DataFrame, least: int = LEAST, shown: int = SHOWN) -> DataF
     # one row per source of a language
     groups = settle(groups.select(
         "lang", "source", F.coalesce("total", F.lit(0)).alias("total"), F.coalesce("terms", F.lit(0)).alias("terms"), "lang_total",
-        F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long").alias("no"),
+        F.row_number().over(W.partitionBy("lang").orderBy("source")).cast("long").alias("no"), F.count("*").over(W.partitionBy("lang")).alias("sources"),
     ).withColumn("p0", F.when(F.col("terms") > 0, scaled(F.lit(0), F.col("total"), F.col("terms")))))
     cells = kept.join(groups, ["lang", "source"]).withColumn("p", scaled(F.col("n"), F.col("total"), F.col("terms")))
 
@@ -160,8 +161,8 @@ def divergence(docs: DataFrame, least: int = LEAST, shown: int = SHOWN) -> DataF
     telling = top_per_key(telling, ["lang", "source"], [F.desc("value"), F.asc("item")], shown)
 
     parts = F.expr(f"1 + terms div {TERMS}")
-    marks = groups.where("terms > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("terms_at"), "no", F.lit(None).cast("string").alias("term"), "p0")
-    blocks = cells.select("lang", F.pmod(F.xxhash64("term"), parts).alias("terms_at"), "no", "term", "p", "p0").unionByName(marks.withColumn("p", F.col("p0")))
+    marks = groups.where("terms > 0").select("lang", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)).alias("terms_at"), "no", "sources", F.lit(None).cast("string").alias("term"), "p0")
+    blocks = cells.select("lang", F.pmod(F.xxhash64("term"), parts).alias("terms_at"), "no", "sources", "term", "p", "p0").unionByName(marks.withColumn("p", F.col("p0")))
     sums = pair_sums(blocks)
     left = groups.select("lang", "source", "no", "terms", F.col("p0").alias("p"))
     right = groups.select("lang", F.col("source").alias("item"), F.col("no").alias("other"), F.col("p0").alias("q"))
