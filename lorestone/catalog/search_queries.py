@@ -206,9 +206,10 @@ def structured_filters(spark, folder):
 
 @query()
 def full_search(spark, folder):
-    """Search with answers, confidence and agreement."""
+    """Search with answers, dated events in front, confidence and agreement."""
+    events = memo(spark, folder).select("event_id", F.col("name").alias("source"), F.col("day").alias("date"), F.col("body").alias("text"))
     found = S.search(
-        memo_paragraphs(spark, folder), nation_questions(spark, folder), F.lit("2024-01-31").cast("date"), k=5
+        memo_paragraphs(spark, folder), nation_questions(spark, folder), F.lit("2024-01-31").cast("date"), k=5, events=events
     )
     return found.select(
         "query_id", "rank", "doc_id", "name", "source", "score", "snippet", "para_idx", "answer", "confidence"

@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: whether the shuffle files of a query are removed when it ends
+CLEAN_KEY = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def local_session(cores: str = "8", app: str = "lorestone", **conf: str) -> SparkSession:
@@ -60,8 +62,14 @@ def settle(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder as Parquet and read it back.
 
     This cuts the lineage: the rows survive lost executors, are the same for every later stage, and
-    later readers still prune columns and push filters.
+    later readers still prune columns and push filters.  What was shuffled for it goes as soon as it is written.
     """
-    path = new_folder(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = new_folder(spark)
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+    return spark.read.schema(df.schema).parquet(path)

@@ -10,7 +10,9 @@ SAMPLE = [
     "bm25_topk", "boosted_search", "structured_filters", "tfidf_bigrams", "paragraph_units", "fact_query",
     "supersession_windows", "temporal_edges", "shared_entity_links", "contradicted_notes", "bfs_related",
     "gap_clusters", "cosine_topk", "ledger_latest_outcome", "risk_coverage_aurc", "failure_taxonomy",
-    "session_selection", "stream_hourly", "public_results", "as_of_validity",
+    "session_selection", "stream_hourly", "public_results", "as_of_validity", "stored_index_search", "block_search",
+    "block_savings", "temporal_query", "feed_intake", "stream_outcomes", "pareto_frontier", "code_chunks", "code_symbols",
+    "compiled_facts", "memory_versions", "commit_stimuli", "summary_levels", "document_chunks", "channel_fusion",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables are absent")
