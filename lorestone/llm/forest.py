@@ -167,7 +167,9 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
 
     scored = dealt.groupBy("leaf", "part").cogroup(going.groupBy("leaf", "part")).applyInPandas(score, "qid long, vid long, ids array<long>, score double")
     unique = scored.groupBy("qid", "vid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
-    flat = unique.select("qid", "score", F.explode("ids").alias("vec_id"))
+    # every vector has an id, so k + 1 different vectors, with all that equal the last, hold the k + 1 best ids
+    near = unique.withColumn("near", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("near") <= k + 1)
+    flat = near.select("qid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     best = settle(flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1))
     own = asked.select(F.col("id").alias("query_id"), "qid").distinct()
