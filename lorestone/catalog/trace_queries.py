@@ -187,7 +187,7 @@ def compiled_dedupe(spark, folder):
 
 
 _CASK = "concat('how many of the ', split_part(p_name, ' ', 1), ' ', split_part(p_type, ' ', 1), ' parts of ', p_brand, ' with size ', p_size % 7)"
-_CT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda t: length(t) > 2 and t not in (" + ",".join(f"'{w}'" for w in R.COMPILED_STOPWORDS) + ")))"
+_CT = "list_distinct(list_filter(regexp_extract_all(lower({0}), '[a-z0-9_]+'), lambda t: length(t) > 2 and t not in (" + ",".join(f"'{w}'" for w in fixed.COMPILED_STOPWORDS) + ")))"
 
 
 @query(

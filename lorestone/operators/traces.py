@@ -226,14 +226,10 @@ def guard_warnings(results: DataFrame, actions: DataFrame) -> DataFrame:
 
 # ---- compiled facts ----------------------------------------------------------------------------------
 
-COMPILED_STOPWORDS = (
-    "about accuracy actual are benchmark did does for from how into is latest many recent score the there this was what when where which with"
-).split()
-
 
 def _terms(c: Column) -> Column:
     tokens = F.regexp_extract_all(F.lower(c), F.lit("[a-z0-9_]+"), F.lit(0))
-    return F.array_except(F.filter(tokens, lambda t: F.length(t) > 2), str_array(COMPILED_STOPWORDS))
+    return F.array_except(F.filter(tokens, lambda t: F.length(t) > 2), str_array(fixed.COMPILED_STOPWORDS))
 
 
 def compiled_intent(low: Column) -> Column:
