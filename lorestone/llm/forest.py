@@ -126,7 +126,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
             where = (np.arange(trees) * (2 << depth) + leaf).ravel()
             rows = np.repeat(np.arange(n), trees)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(where), *[c.take(pa.array(rows)) for c in batch.columns]], names=["leaf", "v", "ids", "vid"]
+                [pa.array(where), *[c.take(pa.array(rows)) for c in batch.columns]], names=["leaf", "v", "vid"]
             )
 
     def visits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,7 +141,7 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
                 where += [t * (2 << depth) + leaf for t, leaf in found]
             yield pa.RecordBatch.from_arrays([pa.array(where, pa.int64()), *[c.take(pa.array(rows)) for c in batch.columns]], names=["leaf", "qid", "q"])
 
-    members = folded.select("v", "ids", "vid").mapInArrow(index, f"leaf long, v {kind}, ids array<long>, vid long")
+    members = folded.select("v", "vid").mapInArrow(index, f"leaf long, v {kind}, vid long")
     # one row per leaf
     parts = settle(members.groupBy("leaf").agg((1 + F.floor(F.count("*") / PART_ROWS)).cast("int").alias("parts")))
     again = parts.withColumnsRenamed({"leaf": "of", "parts": "number"})
@@ -149,27 +149,30 @@ def search(vectors: DataFrame, is_query: F.Column, k: int = 20, id_column: str =
     asked = usable.where("asked").select("id", "v").withColumn("qid", F.xxhash64("v"))
     once = asked.groupBy("qid").agg(F.first("v").alias("q"))
     going = once.mapInArrow(visits, f"leaf long, qid long, q {kind}").join(parts, "leaf").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
-    dealt = members.join(again, F.col("leaf") == F.col("of")).select("leaf", "v", "ids", "vid", F.pmod("vid", "number").cast("int").alias("part"))
+    dealt = members.join(again, F.col("leaf") == F.col("of")).select("leaf", "v", "vid", F.pmod("vid", "number").cast("int").alias("part"))
 
     def score(key, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        if not len(left) or not len(right):
-            return pd.DataFrame({"qid": [], "vid": [], "ids": [], "score": []})
-        x = np.stack(left["v"].to_numpy()).astype(np.float64)
-        out = []
-        for at in range(0, len(right), 256):
-            block = right.iloc[at: at + 256]
-            found = np.einsum("ij,kj->ik", np.stack(block["q"].to_numpy()).astype(np.float64), x, optimize=False)
-            for qid, row in zip(block["qid"], found, strict=True):
+        rows, columns, values = [], [], []
+        if len(left) and len(right):
+            x = np.stack(left["v"].to_numpy()).astype(np.float64)
+            asked_ = np.stack(right["q"].to_numpy()).astype(np.float64)
+            cut = len(x) - k - 1
+            for at in range(0, len(asked_), 256):
+                found = np.einsum("ij,kj->ik", asked_[at: at + 256], x, optimize=False)
                 # equal scores at the cut all stay
-                best = np.flatnonzero(row >= np.partition(row, len(row) - k - 1)[len(row) - k - 1]) if len(row) > k + 1 else np.arange(len(row))
-                out.append(pd.DataFrame({"qid": qid, "vid": left["vid"].to_numpy()[best], "ids": left["ids"].to_numpy()[best], "score": row[best]}))
-        return pd.concat(out)
-
-    scored = dealt.groupBy("leaf", "part").cogroup(going.groupBy("leaf", "part")).applyInPandas(score, "qid long, vid long, ids array<long>, score double")
-    unique = scored.groupBy("qid", "vid").agg(F.max("score").alias("score"), F.first("ids").alias("ids"))
+                least = np.partition(found, cut, axis=1)[:, cut] if cut > 0 else found.min(axis=1)
+                row, column = np.nonzero(found >= least[:, None])
+                rows.append(row + at)
+                columns.append(column)
+                values.append(found[row, column])
+        every = lambda parts, kind: np.concatenate([*parts, np.zeros(0, kind)]).astype(kind)
+        return pd.DataFrame({"qid": right["qid"].to_numpy()[every(rows, int)], "vid": left["vid"].to_numpy()[every(columns, int)], "score": every(values, float)})
+
+    scored = dealt.groupBy("leaf", "part").cogroup(going.groupBy("leaf", "part")).applyInPandas(score, "qid long, vid long, score double")
+    unique = scored.groupBy("qid", "vid").agg(F.max("score").alias("score"))
     # every vector has an id, so k + 1 different vectors, with all that equal the last, hold the k + 1 best ids
     near = unique.withColumn("near", F.rank().over(Window.partitionBy("qid").orderBy(F.desc("score")))).where(F.col("near") <= k + 1)
-    flat = near.select("qid", "score", F.explode("ids").alias("vec_id"))
+    flat = near.join(folded.select("vid", "ids"), "vid").select("qid", "score", F.explode("ids").alias("vec_id"))
     order = Window.partitionBy("qid").orderBy(F.desc("score"), "vec_id")
     best = settle(flat.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k + 1))
     own = asked.select(F.col("id").alias("query_id"), "qid").distinct()
