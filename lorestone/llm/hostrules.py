@@ -4,10 +4,10 @@ Every document is measured in its own row with built-in functions: words, their
 symbols, repeated lines and words in repeated three-word windows.  A few measures are the base rules,
 which reject a document by themselves.  The other rules are too weak for that; their failures are
 counted per host, the rates of a host are drawn towards the mean of all hosts with a beta prior
-whose two parameters come from the hosts themselves (by moments), and a host whose shrunken rate
-for a rule is above the rule's limit is a bad host for it.  The verdict goes back to the documents: one
-that fails the rule is rejected if its host is bad for it.  A document that fails no rule
-stays, whatever its host.
+whose two parameters come from the hosts themselves (by moments).  What a host's rate says about a failure of its documents
+is the posterior chance that the rate is above the corpus mean: a host for which that chance is at least ``CHANCE`` is no better
+than others, and bad for the rule; one that is credibly better keeps its few failing documents.  The verdict goes back to the
+documents: one that fails the rule is rejected if its host is bad for it.  A document that fails no rule stays, whatever its host.
 
 Defined results: null and empty texts have no words and fail the base rules.  A null host is a host
 of its own.  Repeated rows are judged one by one.  Texts of any length are measured whole.  An empty
@@ -30,12 +30,14 @@ LEAST_WORDS = 50
 MOST_REPEATED = 50
 #: symbols that are counted, each by itself
 SYMBOLS = "#*$%&|<>"
-#: weak rules: name -> (failure of a document, limit of the shrunken rate of its host)
-RULES: dict[str, tuple[str, float]] = {
-    "symbols": ("10 * n_symbols > 3 * n_words", 0.5),
-    "lines": ("100 * n_dup_lines > 30 * n_lines", 0.5),
-    "word_length": ("word_chars < 2 * n_words or word_chars > 14 * n_words", 0.5),
+#: weak rules: name -> failure of a document
+RULES: dict[str, str] = {
+    "symbols": "10 * n_symbols > 3 * n_words",
+    "lines": "100 * n_dup_lines > 30 * n_lines",
+    "word_length": "word_chars < 2 * n_words or word_chars > 14 * n_words",
 }
+#: a host is bad for a rule unless its rate exceeds the corpus mean with less than this chance, and that many deviations
+CHANCE, DEVIATIONS = 0.05, 1.645
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
 
 
@@ -117,7 +119,7 @@ def base_failed(m: Column) -> Column:
 
 
 def host_rates(failures: DataFrame, rules: list[str]) -> DataFrame:
-    """(host, rule, n, failed, prior_a, prior_b, rate) from counts (host, n, <rule>...).
+    """(host, rule, n, failed, prior_a, prior_b, rate, corpus) from counts (host, n, <rule>...); ``corpus`` is the mean rate.
 
     The prior of a rule has the mean of all documents and the strength that the spread of the hosts'
     rates implies: a + b = m(1-m)/v - 1, where v is the variance between hosts beyond what counting
@@ -137,10 +139,17 @@ def host_rates(failures: DataFrame, rules: list[str]) -> DataFrame:
     return long.join(prior, "rule").select(
         "host", "rule", "n", "failed", (F.col("m") * F.col("strength")).alias("prior_a"), ((F.lit(1.0) - F.col("m")) * F.col("strength")).alias("prior_b"),
         ((F.col("failed") + F.col("m") * F.col("strength")) / (F.col("n") + F.col("strength"))).alias("rate"),
+        F.col("m").alias("corpus"),
     )
 
 
-def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", rules: dict[str, tuple[str, float]] | None = None) -> DataFrame:
+def no_better() -> Column:
+    """Whether the posterior leaves a chance of ``CHANCE`` that the host's rate is above the corpus mean (normal approximation)."""
+    rate, size = F.col("rate"), F.col("n") + F.col("prior_a") + F.col("prior_b")
+    return rate + F.lit(DEVIATIONS) * F.sqrt(rate * (F.lit(1.0) - rate) / (size + F.lit(1.0))) >= F.col("corpus")
+
+
+def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source", rules: dict[str, str] | None = None) -> DataFrame:
     """All rows of ``docs`` with ``judged``: a struct of MEASURES, base_failed, failed, host_bad and kept.
 
     The text is measured twice, once for the hosts' counts and once for the documents, rather than
@@ -150,15 +159,14 @@ def judge(docs: DataFrame, text_column: str = "text", host_column: str = "source
     names = list(rules)
     measured = measures(docs, F.col(text_column))
     m = measured.columns[-1]
-    inside = {k: F.expr(_on_struct(sql, m)) for k, (sql, _) in rules.items()}
+    inside = {k: F.expr(_on_struct(sql, m)) for k, sql in rules.items()}
     counts = (
         measured.select(F.col(f"`{host_column}`").cast("string").alias("host"), *[v.cast("int").alias(k) for k, v in inside.items()])
         .groupBy("host").agg(F.count("*").alias("n"), *[F.sum(k).alias(k) for k in names])
     )
-    limit = F.create_map(*[F.lit(x) for k, (_, most) in rules.items() for x in (k, most)])
     # written, so that Spark knows its size and need not shuffle texts by host to learn it
     bad = settle(
-        host_rates(counts, names).where(F.col("rate") > limit[F.col("rule")]).groupBy("host")
+        host_rates(counts, names).where(no_better()).groupBy("host")
         .agg(F.sort_array(F.collect_set("rule")).alias("bad"))  # at most one entry per rule
         .select(F.col("host").alias(f"{m}_host"), F.col("bad").alias(f"{m}_bad"))
     )
@@ -199,7 +207,8 @@ h as (unpivot (select host, count(*)::double as n, sum(symbols::int)::double as
   on symbols, lines, word_length into name rule value failed),
 p as (select rule, sum(failed) / sum(n) as m, avg(n) as size, avg(failed / n * failed / n) - avg(failed / n) ** 2 - sum(failed) / sum(n) * (1 - sum(failed) / sum(n)) * avg(1 / n) as v from h group by rule),
 s as (select *, greatest(1, least(case when v > 0 then m * (1 - m) / v - 1 else size end, size)) as k from p),
-b as (select host, rule from h join s using (rule) where (failed + m * k) / (n + k) > 0.5)
+q as (select host, rule, n, k, m, (failed + m * k) / (n + k) as rate from h join s using (rule)),
+b as (select host, rule from q where rate + {DEVIATIONS} * sqrt(rate * (1 - rate) / (n + k + 1)) >= m)
 select doc_id, n_words::bigint as n_words, word_chars::bigint as word_chars, n_symbols::bigint as n_symbols, n_dup_lines::bigint as n_dup_lines,
   n_repeat_words::bigint as n_repeat_words, base_failed,
   not base_failed
