@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import crc_remainder, table
+from .common import crc_remainder, free_name, table
 from .registry import query
 
 #: bound of the training sample per language
@@ -196,7 +196,8 @@ def phrases(pieces: np.ndarray, lengths: np.ndarray, arcs: Arcs) -> np.ndarray:
 
 
 def identify(docs: DataFrame, model, text: Column) -> DataFrame:
-    """``docs`` with lang_pred and score; ``model`` is what ``learn`` gives, as a broadcast."""
+    """``docs`` with lang_pred and score, with underscores before names that ``docs`` has; ``model`` is what ``learn`` gives, as a broadcast."""
+    out = [free_name(docs, "lang_pred"), free_name(docs, "score")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, models = model.value
@@ -237,12 +238,12 @@ def identify(docs: DataFrame, model, text: Column) -> DataFrame:
                     rest = np.delete(row, best)
                     lang[i] = models[best][0]
                     score[i] = float(1.0 - row[best] / (row[best] + rest.min())) if len(rest) else 1.0
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score)], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(lang), pa.array(score)], names=[*batch.schema.names[:-1], *out])
 
     from pyspark.sql import types as T
 
-    shape = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.select("*", text.cast("string").alias("_text")).mapInArrow(run, shape)
+    shape = T.StructType([*docs.schema.fields, T.StructField(out[0], T.StringType()), T.StructField(out[1], T.DoubleType())])
+    return docs.select("*", text.cast("string").alias(free_name(docs, "_text"))).mapInArrow(run, shape)
 
 
 @query("op1_crossparse")

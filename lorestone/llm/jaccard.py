@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..plans.graph import components
 from ..session import settle
-from .common import lists, mixed, steps, table, utf8, word_bounds, word_hashes
+from .common import free_name, lists, mixed, steps, table, utf8, word_bounds, word_hashes
 from .registry import query
 
 #: tokens counted this often are frequent
@@ -259,9 +259,10 @@ def jaccard_groups(docs: DataFrame, width: int = 4, percent: int = 85, id_column
 def first_of_groups(docs: DataFrame, **options) -> DataFrame:
     """The rows whose id is the smallest of its group, one row per id and text."""
     groups = jaccard_groups(docs, **options)
-    keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias("_kept_id")).distinct()
+    kept = free_name(docs, "_kept_id")
+    keep = groups.where("component_id = doc_id").select(F.col("doc_id").alias(kept)).distinct()
     # the join comes first, so that rows of one id lie together and only what stays is folded
-    named = docs.join(keep, F.col("doc_id") == F.col("_kept_id"), "left_semi").dropDuplicates(["doc_id", "text"])
+    named = docs.join(keep, F.col("doc_id") == F.col(kept), "left_semi").dropDuplicates(["doc_id", "text"])
     return named.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import settle
-from .common import table
+from .common import free_name, table
 from .registry import query
 
 #: bins of keys in which sizes are summed before any order is needed
@@ -170,13 +170,14 @@ def mixed_rows(docs: DataFrame, **options) -> DataFrame:
 
     Rows of one id, source and text are interchangeable, so their counts are added up.
     """
+    id_, source, digest, copies, copy = (free_name(docs, n) for n in ("_id", "_source", "_digest", "_copies", "_copy"))
     taken = mix(docs, **options).where("taken > 0").groupBy("doc_id", "source", "digest").agg(
-        F.sum(F.col("taken") / F.col("size")).cast("int").alias("_copies")
-    ).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("digest").alias("_digest"), "_copies")
+        F.sum(F.col("taken") / F.col("size")).cast("int").alias(copies)
+    ).select(F.col("doc_id").alias(id_), F.col("source").alias(source), F.col("digest").alias(digest), copies)
     once = docs.dropDuplicates(["doc_id", "source", "text"])
     same = (
-        F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source"))
-        & (F.xxhash64(F.col("text")) == F.col("_digest"))
+        F.col("doc_id").eqNullSafe(F.col(id_)) & F.col("source").eqNullSafe(F.col(source))
+        & (F.xxhash64(F.col("text")) == F.col(digest))
     )
     joined = once.join(taken, same)
-    return joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import settle
-from .common import table, utf8, word_bounds, word_hashes
+from .common import free_name, table, utf8, word_bounds, word_hashes
 from .registry import query
 
 KINDS = ("email", "ip", "card", "phone", "term")
@@ -281,9 +281,10 @@ def _masked(text, found):
 
 def sanitised(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of ``text`` replaced by its kind in brackets; a null text stays null."""
-    found = spans(docs).where("size(spans) > 0").select(F.col("digest").alias("_digest"), F.col("spans").alias("_spans")).dropDuplicates(["_digest"])
-    joined = docs.join(found, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col("_digest"), "left")
-    new = F.when(F.col("_spans").isNull(), F.col("text")).otherwise(_masked("text", F.when(F.col("_spans").isNotNull(), F.col("_spans"))))
+    digest, own = free_name(docs, "_digest"), free_name(docs, "_spans")
+    found = spans(docs).where("size(spans) > 0").select(F.col("digest").alias(digest), F.col("spans").alias(own)).dropDuplicates([digest])
+    joined = docs.join(found, F.xxhash64(F.coalesce(F.col("text"), F.lit(""))) == F.col(digest), "left")
+    new = F.when(F.col(own).isNull(), F.col("text")).otherwise(_masked("text", F.when(F.col(own).isNotNull(), F.col(own))))
     return joined.select(*[new.alias("text") if c == "text" else F.col(f"`{c}`") for c in docs.columns])
 
 
