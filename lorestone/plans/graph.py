@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import settle
+from .scale import growing
 
 
 def both_ways(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
@@ -88,17 +89,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     labels = settle(nodes.select(F.col("node"), F.col("node").alias("component")).distinct())
     while True:
         near = (
-            links.join(labels.select(F.col("node").alias("dst"), "component"), "dst")
+            links.join(growing(labels.select(F.col("node").alias("dst"), "component")), "dst")
             .groupBy(F.col("src").alias("node"))
             .agg(F.min("component").alias("near"))
         )
-        hooked = labels.join(near, "node", "left").select(
+        hooked = labels.join(growing(near), "node", "left").select(
             "node", F.least("component", F.coalesce("near", "component")).alias("component"),
             F.col("component").alias("old"),
         )
         jump = hooked.select(F.col("node").alias("component"), F.col("component").alias("up"))
         nxt = settle(
-            hooked.join(jump, "component", "left").select(
+            hooked.join(growing(jump), "component", "left").select(
                 "node", F.least("component", F.coalesce("up", "component")).alias("component"), "old"
             )
         )

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import settle
 from .graph import components
+from .scale import growing
 
 #: keys that a note and a cluster must share
 SHARED = 2
@@ -75,11 +76,11 @@ def _rounds(held: DataFrame) -> DataFrame:
     asked = settle(held.withColumn("rare", place >= SHARED).select("seq", "key", "rare"))
     now = asked.select("seq").distinct().withColumn("cluster", F.col("seq"))
     while True:
-        entered = settle(asked.join(now, "seq").groupBy("cluster", "key").agg(F.min("seq").alias("since")))
-        near = asked.where("rare").join(entered, "key").where("since < seq and cluster < seq").select("seq", "cluster").distinct()
-        shared = asked.select("seq", "key").join(near, "seq").join(entered, ["cluster", "key"]).where("since < seq")
+        entered = settle(asked.join(growing(now), "seq").groupBy("cluster", "key").agg(F.min("seq").alias("since")))
+        near = asked.where("rare").join(growing(entered), "key").where("since < seq and cluster < seq").select("seq", "cluster").distinct()
+        shared = asked.select("seq", "key").join(growing(near), "seq").join(growing(entered), ["cluster", "key"]).where("since < seq")
         first = shared.groupBy("seq", "cluster").agg(F.count("*").alias("n")).where(f"n >= {SHARED}").groupBy("seq").agg(F.min("cluster").alias("found"))
-        step = settle(now.join(first, "seq", "left").select("seq", F.coalesce("found", "seq").alias("cluster"), F.col("cluster").alias("before")))
+        step = settle(now.join(growing(first), "seq", "left").select("seq", F.coalesce("found", "seq").alias("cluster"), F.col("cluster").alias("before")))
         if step.where("cluster <> before").isEmpty():
             return step.select("seq", "cluster")
         now = step.select("seq", "cluster")
@@ -93,14 +94,14 @@ def grown_clusters(notes: DataFrame, held: int = HELD) -> DataFrame:
     pairs = settle(notes.select(F.col("seq").cast("long").alias("seq"), F.explode_outer(F.array_distinct("keys")).alias("key")).where("key is not null"))
     # a key of one note never brings it together with another
     common = pairs.groupBy("key").agg(F.count("*").alias("n"), F.min("seq").alias("src")).where("n > 1")
-    useful = settle(pairs.join(common, "key"))
+    useful = settle(pairs.join(growing(common), "key"))
     labels = components(useful.select(F.col("seq").alias("node")).distinct(), useful.select("src", F.col("seq").alias("dst")))
     sizes = labels.groupBy("component").agg(F.count("*").alias("size"))
-    tagged = settle(labels.join(sizes, "component").select(F.col("node").alias("seq"), "component", "size"))
-    keyed = useful.join(tagged, "seq")
+    tagged = settle(labels.join(growing(sizes), "component").select(F.col("node").alias("seq"), "component", "size"))
+    keyed = useful.join(growing(tagged), "seq")
     small = keyed.where(F.col("size") <= held).groupBy("component", "seq").agg(F.collect_list("key").alias("keys"))
     found = _replayed(small)
     if not tagged.where(F.col("size") > held).isEmpty():
         found = found.unionByName(_rounds(keyed.where(F.col("size") > held).select("seq", "key", "n")))
     found = settle(found)
-    return found.join(found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1"), "cluster").select("seq", "cluster", "n")
+    return found.join(growing(found.groupBy("cluster").agg(F.count("*").alias("n")).where("n > 1")), "cluster").select("seq", "cluster", "n")
