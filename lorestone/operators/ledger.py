@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from .. import schemas
 from ..functions import dates as D
 from ..functions import fixed
 from ..functions.common import strip, str_array
 from ..plans.ordered import row_index, running_sums
+from ..plans.scale import growing
+from ..plans.scoped import CELLS, in_blocks, postings, shared_keys
 
 # ---- feed rows -------------------------------------------------------------------------------------
 
@@ -209,6 +215,32 @@ def outcome_tokens(c: Column) -> Column:
     return F.array_except(found, str_array(fixed.OUTCOME_STOPWORDS))
 
 
+def _echoed(texts: pa.Table, recalled: pa.Table, ttl: float, share: float) -> np.ndarray:
+    """Whether a text within ``ttl`` after a recall holds ``share`` of its tokens, for each recall."""
+    out = np.zeros(recalled.num_rows, bool)
+    texts = texts.sort_by("ts")
+    n = texts.num_rows
+    if not n or not len(out):
+        return out
+    # equal memories are compared once
+    words = pa.array(["\x01".join(sorted(t)) for t in recalled.column("tokens").to_pylist()]).dictionary_encode()
+    which = words.indices.to_numpy(zero_copy_only=False)
+    sets = pa.table({"tokens": pa.array([w.split("\x01") for w in words.dictionary.to_pylist()], pa.list_(pa.string()))})
+    written, said = texts.column("ts").to_numpy(), recalled.column("ts").to_numpy()
+    first = np.searchsorted(written, said)
+    size = pc.list_value_length(sets.column("tokens")).to_numpy()
+    part = postings(texts, sets, "tokens")
+    step = max(1, CELLS // n)
+    for low in range(0, sets.num_rows, step):
+        high = min(low + step, sets.num_rows)
+        echo = shared_keys(part, low, high, n) / size[low:high, None] >= share
+        # the time of the next echo from each text on
+        after = np.minimum.accumulate(np.where(echo, written, np.inf)[:, ::-1], axis=1)[:, ::-1]
+        here = np.flatnonzero((which >= low) & (which < high) & (first < n))
+        out[here] = after[which[here] - low, first[here]] - said[here] <= ttl
+    return out
+
+
 def match_outcomes(
     recalls: DataFrame, writes: DataFrame, ttl: float = 1800.0, share: float = 0.6, least: int = 4
 ) -> DataFrame:
@@ -216,30 +248,26 @@ def match_outcomes(
 
     ``recalls`` has event_id, agent, ts (seconds) and memories (array); ``writes`` write_id, agent,
     ts, text.  The text must come from the same agent within ``ttl`` seconds and hold ``share`` of
-    the tokens of a memory with at least ``least`` tokens.  Both sides meet on agent, time slice and
-    one of the tokens that every echo must contain, never on the agent alone.
+    the tokens of a memory with at least ``least`` tokens.  Both sides meet on agent and time slice; a task finds
+    the next echo of each different memory in an array, so no pair of a recall and a text is a row.
     """
-    memories = recalls.select(
-        "event_id", "agent", "ts", F.posexplode("memories").alias("m", "memory")
-    ).withColumn("tokens", outcome_tokens(F.col("memory"))).where(F.size("tokens") >= least)
-    n = F.size("tokens")
-    # an echo holds ceil(share n) tokens, so it misses at most n - ceil(share n) of any selection
-    keys = (n - F.ceil(n * share - 1e-9) + 1).cast("int")
-    ordered = F.transform(
-        F.array_sort(F.transform("tokens", lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), lambda x: x["t"]
-    )
+    memories = recalls.select("event_id", "agent", "ts", F.explode("memories").alias("memory")).withColumn(
+        "tokens", outcome_tokens(F.col("memory"))
+    ).where(F.size("tokens") >= least).drop("memory")
     slice_ = F.floor(F.col("ts") / ttl)
-    left = memories.select(
-        "event_id", "m", "agent", F.col("ts").alias("r_ts"), "tokens", F.explode(F.slice(ordered, F.lit(1), keys)).alias("token"),
-        slice_.alias("s0"),
-    ).select("*", F.explode(F.array(F.col("s0"), F.col("s0") + 1)).alias("slice")).drop("s0")
-    texts = writes.select("write_id", "agent", "ts", outcome_tokens(F.col("text")).alias("words"), slice_.alias("slice"))
-    right = texts.select("write_id", "agent", "slice", F.col("ts").alias("w_ts"), F.explode("words").alias("token"))
-    met = left.drop("tokens").join(right, ["agent", "slice", "token"]).where(
-        (F.col("w_ts") >= F.col("r_ts")) & (F.col("w_ts") - F.col("r_ts") <= ttl)
-    ).select("event_id", "m", "write_id").distinct()
-    full = met.join(memories.select("event_id", "m", "tokens"), ["event_id", "m"]).join(texts.select("write_id", "words"), "write_id")
-    echoed = full.where(F.size(F.array_intersect("tokens", "words")) / F.size("tokens") >= share).select("event_id").distinct()
+    meets = F.col("agent").isNotNull() & F.col("ts").isNotNull()
+    asked = memories.where(meets).select("*", F.explode(F.array(slice_, slice_ + 1)).alias("slice"))
+    asked = asked.withColumn("ts", F.col("ts").cast("double"))
+    held = writes.where(meets).select(
+        "write_id", "agent", F.col("ts").cast("double").alias("ts"), outcome_tokens(F.col("text")).alias("tokens"), slice_.alias("slice")
+    )
+    left, right, keys = in_blocks(held, asked, ["agent", "slice"], "write_id", "event_id")
+
+    def run(texts: pa.Table, recalled: pa.Table) -> pa.Table:
+        return recalled.select(["event_id"]).filter(pa.array(_echoed(texts, recalled, ttl, share), pa.bool_()))
+
+    schema = StructType([StructField("event_id", recalls.schema["event_id"].dataType)])
+    echoed = growing(left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(run, schema).distinct())
     tracked = memories.select("event_id").distinct()
     return tracked.join(echoed.withColumn("hit", F.lit(True)), "event_id", "left").select(
         "event_id", F.coalesce("hit", F.lit(False)).alias("was_used")
