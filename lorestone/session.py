@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,17 @@ def new_folder(spark: SparkSession) -> str:
     return path
 
 
+@contextmanager
+def cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is shuffled for the actions inside goes as soon as each has ended."""
+    before = spark.conf.get(CLEAN_KEY, "false")
+    spark.conf.set(CLEAN_KEY, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEAN_KEY, before)
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Write the frame to the shared folder as Parquet and read it back.
 
@@ -66,10 +79,15 @@ def settle(df: DataFrame) -> DataFrame:
     """
     spark = df.sparkSession
     path = new_folder(spark)
-    before = spark.conf.get(CLEAN_KEY, "false")
-    spark.conf.set(CLEAN_KEY, "true")
-    try:
+    with cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEAN_KEY, before)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.settled_path = path
+    return found
+
+
+def release(df: DataFrame) -> None:
+    """Remove the files of a frame from :func:`settle` that nothing will read again."""
+    spark = df.sparkSession
+    place = spark._jvm.org.apache.hadoop.fs.Path(df.settled_path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
