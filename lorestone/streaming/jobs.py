@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import json
 import math
-from collections import defaultdict
+from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from typing import Any
@@ -131,13 +131,16 @@ def outcome_events(recalls: DataFrame, writes: DataFrame, shards: int = 4) -> Da
     A recall goes to one shard, a text to all of them, so the pending recalls of a busy agent are
     held by several tasks.
     """
+    # tokens hold no blanks, and one string is far smaller in a task than a list of its words
+    joined = lambda c: F.concat_ws(" ", L.outcome_tokens(c))
     left = recalls.select(
-        "agent", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int").alias("shard"), "ts", F.col("event_id").cast("string").alias("event_id"),
-        F.transform("memories", L.outcome_tokens).alias("memories"), F.lit(None).cast("array<string>").alias("words"),
+        "agent", F.pmod(F.xxhash64("event_id"), F.lit(shards)).cast("int").alias("shard"), "ts", F.unix_millis("ts").alias("at"), F.col("event_id").cast("string").alias("event_id"),
+        F.transform("memories", joined).alias("memories"), F.lit(None).cast("string").alias("words"),
     )
-    right = writes.select(
-        "agent", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts", F.lit(None).cast("string").alias("event_id"),
-        F.lit(None).cast("array<array<string>>").alias("memories"), L.outcome_tokens(F.col("text")).alias("words"),
+    # the words of a text are found once, then dealt to the shards
+    right = writes.select("agent", "ts", joined(F.col("text")).alias("words")).select(
+        "agent", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "ts", F.unix_millis("ts").alias("at"), F.lit(None).cast("string").alias("event_id"),
+        F.lit(None).cast("array<string>").alias("memories"), "words",
     )
     return left.unionByName(right)
 
@@ -146,11 +149,61 @@ def _outcomes(names: list[str], used: bool) -> pd.DataFrame:
     return pd.DataFrame({"event_id": pd.Series(names, dtype=object), "was_used": pd.Series([used] * len(names), dtype=object)})
 
 
+class Waiting:
+    """Recalls that a text may still echo, by the tokens of a memory; rows are to come in the order of their time.
+
+    Equal memories wait as one, so a text looks at each memory once however many recalls hold it, and a recall leaves
+    when its time is over, so nothing is looked at that can no longer match.
+    """
+
+    def __init__(self, ttl: int, share: float) -> None:
+        self.ttl, self.share = ttl, share
+        self.line: deque[tuple[int, str, frozenset[str]]] = deque()
+        self.by_memory: dict[frozenset[str], deque[tuple[int, str]]] = {}
+        self.index: dict[str, set[frozenset[str]]] = defaultdict(set)
+
+    def _tokens(self, memory: frozenset[str]) -> list[str]:
+        """An echo misses few tokens of a memory, so it holds one of the longest ``n - ceil(share n) + 1``."""
+        return sorted(memory, key=lambda t: (-len(t), t))[: len(memory) - math.ceil(self.share * len(memory) - 1e-9) + 1]
+
+    def _forget(self, memory: frozenset[str]) -> None:
+        del self.by_memory[memory]
+        for token in self._tokens(memory):
+            self.index[token].discard(memory)
+            if not self.index[token]:
+                del self.index[token]
+
+    def add(self, at: int, name: str, memory: frozenset[str]) -> None:
+        if memory not in self.by_memory:
+            self.by_memory[memory] = deque()
+            for token in self._tokens(memory):
+                self.index[token].add(memory)
+        self.by_memory[memory].append((at, name))
+        self.line.append((at, name, memory))
+
+    def echoed(self, now: int, words: str) -> list[tuple[int, str]]:
+        """(time, name) of the recalls that a text echoes; they wait no more."""
+        while self.line and self.line[0][0] + self.ttl < now:
+            at, name, memory = self.line.popleft()
+            held = self.by_memory.get(memory)
+            if held and held[0] == (at, name):
+                held.popleft()
+                if not held:
+                    self._forget(memory)
+        told = set(words.split())
+        found = []
+        for memory in set().union(*(self.index[w] for w in told if w in self.index)):
+            if len(told & memory) >= self.share * len(memory) - 1e-9:
+                found += self.by_memory[memory]
+                self._forget(memory)
+        return found
+
+
 class OutcomeTracker(StatefulProcessor):
     """Pending recalls of one agent and shard, until a text echoes one or its time is over.
 
-    ``pending`` maps a recall to its time and memories, ``due`` the end of a time to the recalls that end there; a timer
-    fires at each end.  Nothing but an echo or its timer removes a recall.
+    ``pending`` maps a slice of time, as long as a recall waits, to the recalls of that slice; a timer per slice fires when
+    its next recall ends.  Nothing but an echo or its timer removes a recall.
     """
 
     def __init__(self, ttl: float, share: float, least: int) -> None:
@@ -158,56 +211,74 @@ class OutcomeTracker(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.pending = handle.getMapState("pending", "event_id string", "ts bigint, memories string")
-        self.due = handle.getMapState("due", "at bigint", "ids string")
+        self.pending = handle.getMapState("pending", "slice bigint", "recalls string")
+
+    def _store(self, part: int, recalls: dict[str, tuple[int, list[str]]]) -> None:
+        """Keep the recalls of a slice and wake up when the first of them ends."""
+        if not recalls:
+            self.pending.removeKey((part,))
+            return
+        self.pending.updateValue((part,), (json.dumps([[n, at, m] for n, (at, m) in recalls.items()]),))
+        self.handle.registerTimer(min(at for at, _ in recalls.values()) + self.ttl)
+
+    @staticmethod
+    def _recalls(value: Any) -> dict[str, tuple[int, list[str]]]:
+        return {n: (at, m) for n, at, m in json.loads(value[0])}
 
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         frame = pd.concat(list(rows), ignore_index=True)
-        frame["is_text"] = frame["event_id"].isna()
-        held: dict[str, tuple[int, list[set[str]]]] = {k[0]: (v[0], [set(m) for m in json.loads(v[1])]) for k, v in self.pending.iterator()}
-        index: dict[str, set[str]] = defaultdict(set)
-        for name, (_, memories) in held.items():
-            self._enter(index, name, memories)
-        old, ends, used = set(held), defaultdict(list), []
-        for row in frame.sort_values(["ts", "is_text", "event_id"]).itertuples():
-            now = row.ts.value // 1_000_000
-            if not row.is_text:
-                memories = [set(m) for m in row.memories if len(m) >= self.least]
-                if memories and row.event_id not in held:
-                    held[row.event_id] = (now, memories)
-                    ends[now + self.ttl].append(row.event_id)
-                    self._enter(index, row.event_id, memories)
+        times = frame["at"].to_numpy()
+        first, last = int(times.min()), int(times.max())
+        slices: dict[int, dict[str, tuple[int, list[str]]]] = defaultdict(dict)
+        held: dict[str, int] = {}
+        events: list[tuple[int, bool, str, Any]] = []
+        for (part,), value in self.pending.iterator():
+            known = self._recalls(value)
+            held |= {n: at for n, (at, _) in known.items()}
+            # recalls that no text of this batch can reach stay as they are
+            if first - 2 * self.ttl <= part * self.ttl <= last:
+                slices[part] = known
+                events += [(at, False, n, m) for n, (at, m) in known.items()]
+        old = set(held)
+        for at, is_text, name, memories, words in zip(times.tolist(), frame["event_id"].isna(), frame["event_id"], frame["memories"], frame["words"]):
+            events.append((at, True, "", words) if is_text else (at, False, name, memories))
+        events.sort(key=lambda e: e[:3])
+        waiting, changed, used = Waiting(self.ttl, self.share), set(), []
+        for now, is_text, name, what in events:
+            if is_text:
+                for at, echoed in waiting.echoed(now, what):
+                    if held.get(echoed) == at:
+                        used.append(echoed)
+                        del held[echoed]
+                        changed.add(at // self.ttl)
+                        del slices[at // self.ttl][echoed]
                 continue
-            words = set(row.words)
-            for name in set().union(*(index[w] for w in words if w in index)):
-                at, memories = held.get(name, (None, ()))
-                if at is not None and at <= now <= at + self.ttl and any(len(words & m) >= self.share * len(m) - 1e-9 for m in memories):
-                    used.append(name)
-                    del held[name]
-        for name in old - set(held):
-            self.pending.removeKey((name,))
-        for name in set(held) - old:
-            self.pending.updateValue((name,), (held[name][0], json.dumps([sorted(m) for m in held[name][1]])))
-        for at, names in ends.items():
-            before = self.due.getValue((at,))
-            self.due.updateValue((at,), (json.dumps((json.loads(before[0]) if before else []) + names),))
-            self.handle.registerTimer(at)
+            if name in old:
+                if held.get(name) != now or name not in slices[now // self.ttl]:
+                    continue
+                old.discard(name)
+                memories = slices[now // self.ttl][name][1]
+            else:
+                memories = [m for m in what if m.count(" ") + bool(m) >= self.least]
+                if not memories or name in held:
+                    continue
+                held[name] = now
+                changed.add(now // self.ttl)
+                slices[now // self.ttl][name] = (now, memories)
+            for m in memories:
+                waiting.add(now, name, frozenset(m.split()))
+        for part in changed:
+            self._store(part, slices[part])
         yield _outcomes(used, True)
 
-    def _enter(self, index: dict[str, set[str]], name: str, memories: list[set[str]]) -> None:
-        """An echo misses few tokens of a memory, so it holds one of the longest ``n - ceil(share n) + 1``."""
-        for m in memories:
-            for token in sorted(m, key=lambda t: (-len(t), t))[: len(m) - math.ceil(self.share * len(m) - 1e-9) + 1]:
-                index[token].add(name)
-
     def handleExpiredTimer(self, key: Any, timerValues: Any, expiredTimerInfo: Any) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        at = expiredTimerInfo.getExpiryTimeInMs()
-        ended = self.due.getValue((at,))
-        over = [n for n in (json.loads(ended[0]) if ended else []) if self.pending.containsKey((n,))]
-        for name in over:
-            self.pending.removeKey((name,))
-        if ended:
-            self.due.removeKey((at,))
+        part = (expiredTimerInfo.getExpiryTimeInMs() - self.ttl) // self.ttl
+        value = self.pending.getValue((part,))
+        recalls = self._recalls(value) if value else {}
+        # a timer goes off once the watermark is past it
+        over = [n for n, (at, _) in recalls.items() if at + self.ttl < timerValues.getCurrentWatermarkInMs()]
+        if over:
+            self._store(part, {n: r for n, r in recalls.items() if n not in set(over)})
         yield _outcomes(over, False)
 
     def close(self) -> None:

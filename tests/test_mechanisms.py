@@ -217,3 +217,40 @@ def test_many_pending_recalls_are_kept_until_their_time(spark, tmp_path):
     assert len(got) == len(found)
     used = {"r0", "r599", "r200"}
     assert found == {**{f"r{i}": f"r{i}" in used for i in range(600)}, "other": False}
+
+
+def test_equal_memories_wait_as_one_and_leave_in_time():
+    waiting = J.Waiting(1000, 0.6)
+    memory = frozenset("anna fixed parser in riga".split())
+    for i in range(500):
+        waiting.add(i * 10, f"r{i}", memory)
+    assert len(waiting.by_memory) == 1
+    # those before 3000 are over, and nothing waits once it was echoed
+    assert sorted(at for at, _ in waiting.echoed(4000, "anna fixed it in riga")) == list(range(3000, 5000, 10))
+    assert not waiting.by_memory and not waiting.index
+    # memories that no text echoes are not looked at for ever
+    for i in range(50):
+        waiting.add(5000 + i, f"s{i}", frozenset({f"a{i}", f"b{i}", f"c{i}", "parser"}))
+    assert waiting.echoed(7000, "parser") == [] and not waiting.by_memory and not waiting.line
+
+
+def test_recalls_of_an_earlier_batch_wait_in_their_slice(spark, tmp_path):
+    base = 1_700_000_000
+    own = lambda i: f"m{i}a m{i}b m{i}c m{i}d m{i}e"
+    src = tmp_path / "src"
+    rows = [
+        [(f"r{i}", "a", base + i, [own(i)], None) for i in range(40)],
+        # the time of r0 to r4 is over; a second recall of one id counts for nothing while the first waits
+        [(None, "a", base + 1805, None, " ".join(own(i) for i in (2, 7, 9))), ("r8", "a", base + 1800, [own(50)], None), (None, "a", base + 1806, None, own(50))],
+        [(None, "a", base + 20_000, None, "unrelated")],
+    ]
+    for part in rows:
+        both = spark.createDataFrame(part, "event_id string, agent string, s long, memories array<string>, text string")
+        both.withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(src))
+    stream = spark.readStream.schema(spark.read.parquet(str(src)).schema).option("maxFilesPerTrigger", 1).parquet(str(src)).withWatermark("ts", "1 minute")
+    events = J.outcome_events(stream.where("event_id is not null"), stream.where("event_id is null"), shards=2)
+    out = str(tmp_path / "out")
+    with J.keyed_state(spark):
+        J.run_available(J.track_outcomes(events), J.batch_sink(out), out + "-checkpoint")
+    got = spark.read.option("recursiveFileLookup", True).parquet(out).collect()
+    assert sorted((r.event_id, r.was_used) for r in got) == sorted((f"r{i}", i in (7, 9)) for i in range(40))
