@@ -88,8 +88,8 @@ _SPAN = """concat('The first parcel came on ', cast(cast(o_orderdate as date) as
 )
 def duration_answers(spark, folder):
     t = F.col("t")
-    o = table(spark, folder, "orders").select("o_orderkey", F.expr(_SPAN).alias("t"))
-    ask = lambda u: A.duration_answer(t, F.lit(f"How many {u} between the first parcel and the refund?"))
+    o = table(spark, folder, "orders").select("o_orderkey", F.expr(_SPAN).alias("t")).select("o_orderkey", "t", A.iso_days(t).alias("days"))
+    ask = lambda u: A.duration_answer(t, F.lit(f"How many {u} between the first parcel and the refund?"), F.col("days"))
     return o.select("o_orderkey", ask("days").alias("in_days"), ask("weeks").alias("in_weeks"), ask("months").alias("in_months"))
 
 

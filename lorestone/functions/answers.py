@@ -108,38 +108,48 @@ def proximity_score(text: Column, start: Column, stop: Column, tokens: Column) -
     low = F.greatest(start - 60, F.lit(0))
 
     def total(window):
-        places = F.sequence(F.lit(1), F.greatest(F.length(window), F.lit(1)))
-
         def token_score(acc, t):
-            found = F.filter(places, lambda p: F.substring(window, p, F.length(t)) == t)
+            # cut before each occurrence, overlapping ones too; a cut at the very start leaves no empty piece
+            pieces = F.split(window, F.concat(F.lit("(?="), t, F.lit(")")), -1)
 
-            def add(sum_, p):
-                begin = low + p - 1
+            def add(so_far, piece):
+                begin = low + so_far["at"]
                 gap = F.greatest(F.lit(0), start - (begin + F.length(t)), begin - stop)
-                return sum_ + 1.0 / (1.0 + gap / 20.0)
+                hit = (so_far["at"] > 0) | window.startswith(t)
+                return F.struct(
+                    (so_far["at"] + F.length(piece)).alias("at"),
+                    (so_far["sum"] + F.when(hit, 1.0 / (1.0 + gap / 20.0)).otherwise(0.0)).alias("sum"),
+                )
 
-            here = F.filter(F.array(t), lambda x: window.contains(x))
-            return acc + F.when(F.size(here) > 0, F.aggregate(found, F.lit(0.0), add)).otherwise(0.0)
+            none = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("sum"))
+            return acc + F.when(window.contains(t), F.aggregate(pieces, none, add, lambda x: x["sum"])).otherwise(0.0)
 
         return F.aggregate(tokens, F.lit(0.0), token_score)
 
     return let(F.lower(window_text(text, low, stop + 60)), total)
 
 
-def duration_answer(text: Column, query: Column) -> Column:
-    """Time between the two dates closest to the query words; NULL below two dates."""
+def iso_days(text: Column) -> Column:
+    """Valid ISO dates in a text with their bounds: array<struct<i,start,stop,day>>."""
+    dated = F.transform(
+        spans(text, r"(?U)\b\d{4}-\d{2}-\d{2}\b"),
+        lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["stop"].alias("stop"), F.try_to_date(s["text"], "yyyy-MM-dd").alias("day")),
+    )
+    return F.filter(dated, lambda x: x["day"].isNotNull())
+
+
+def duration_answer(text: Column, query: Column, days: Column | None = None) -> Column:
+    """Time between the two dates closest to the query words; NULL below two dates.
+
+    ``days`` are the :func:`iso_days` of the text, for several questions on one text.
+    """
 
     def ranked(tokens):
-        return F.filter(
-            F.transform(
-                spans(text, r"(?U)\b\d{4}-\d{2}-\d{2}\b"),
-                lambda s, i: F.struct(
-                    (-proximity_score(text, s["start"], s["stop"], tokens)).alias("rank"),
-                    i.alias("i"),
-                    F.try_to_date(s["text"], "yyyy-MM-dd").alias("day"),
-                ),
+        return F.transform(
+            iso_days(text) if days is None else days,
+            lambda s: F.struct(
+                (-proximity_score(text, s["start"], s["stop"], tokens)).alias("rank"), s["i"].alias("i"), s["day"].alias("day")
             ),
-            lambda x: x["day"].isNotNull(),
         )
 
     def pair(best):

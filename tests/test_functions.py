@@ -107,3 +107,29 @@ def test_any_text_is_handled(spark, texts):
     for r in rows:
         if texts[r.i].isascii():
             assert r.t == re.findall(r"[a-z0-9][a-z0-9_]{2,}", texts[r.i].lower())
+
+
+def test_proximity_counts_every_occurrence_and_days_are_shared(spark):
+    text = "anana anana on 2024-02-01, xanana 2024-13-01 banana. Ana left on 2024-02-11 an"
+    tokens = ["ana", "left", "nan", "none"]
+
+    def brute(start, stop):
+        low = max(start - 60, 0)
+        window = text[low : stop + 60].lower()
+        total = 0.0
+        for t in tokens:
+            for p in range(len(window)):
+                if window.startswith(t, p):
+                    total += 1.0 / (1.0 + max(0, start - (low + p + len(t)), low + p - stop) / 20.0)
+        return total
+
+    c, words = F.col("c"), F.array(*[F.lit(t) for t in tokens])
+    df = spark.createDataFrame([(text,)], "c string").select("c", A.iso_days(c).alias("days"))
+    r = df.select(
+        "days", F.transform("days", lambda s: A.proximity_score(c, s["start"], s["stop"], words)).alias("scores"),
+        A.duration_answer(c, F.lit("How many days before ana left?"), F.col("days")).alias("shared"),
+        A.duration_answer(c, F.lit("How many days before ana left?")).alias("own"),
+    ).first()
+    assert [text[d.start : d.stop] for d in r.days] == ["2024-02-01", "2024-02-11"]
+    assert all(abs(s - brute(d.start, d.stop)) < 1e-12 for s, d in zip(r.scores, r.days))
+    assert r.shared == r.own == "10 days (or 11 days counting both endpoints)"
