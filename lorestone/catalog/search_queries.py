@@ -11,7 +11,7 @@ from ..operators import blockindex as B
 from ..operators import index as I
 from ..operators import search as S
 from ..plans.scale import by_score, top_per_key
-from ..session import new_folder
+from ..session import new_folder, settle
 from .base import MEMO_SQL, derive, derive_sql, memo, query, table
 from .text_queries import _TRACE_TOKENS, chain_sql, words_sql
 
@@ -240,7 +240,8 @@ def multi_hop_search(spark, folder):
 )
 def rrf_fusion(spark, folder):
     docs = documents_as_paragraphs(spark, folder)
-    lexical = I.bm25_top(docs, benchmark_queries(spark, folder), 50)
+    # read twice: by score, and for the lengths
+    lexical = settle(I.bm25_top(docs, benchmark_queries(spark, folder), 50))
     by_size = top_per_key(
         lexical.drop("rank", "score").join(docs.select("para_id", F.col("n_chars").cast("double").alias("score")), "para_id"),
         ["query_id"], by_score("para_id"), 50,
@@ -266,7 +267,7 @@ def dense_rerank(spark, folder):
         F.col("vec_id").alias("para_id"), unit(F.col("embedding")).alias("embedding")
     )
     asked = vectors.withColumnRenamed("para_id", "query_id")
-    scores = I.bm25_scores(documents_as_paragraphs(spark, folder), benchmark_queries(spark, folder))
+    scores = I.bm25_top(documents_as_paragraphs(spark, folder), benchmark_queries(spark, folder), 30).drop("rank")
     fused = S.dense_rerank(scores, asked, vectors, 5)
     top = top_per_key(fused, ["query_id"], by_score("para_id"), 5)
     return top.select("query_id", "para_id", F.round("score", 9).alias("score"), "rank")
