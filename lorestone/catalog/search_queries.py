@@ -187,10 +187,9 @@ BOOSTED = rf"""q1 as (select *, {_INTENT} as intent,
     select query_id, para_id, round(score, 6) as score, rank from ({rank_sql('r', 10)})"""
 )
 def boosted_search(spark, folder):
-    ranked = S.boosted_scores(
-        memo_paragraphs(spark, folder), nation_questions(spark, folder), F.lit("2024-01-31").cast("date")
+    top = S.boosted_top(
+        memo_paragraphs(spark, folder), nation_questions(spark, folder), F.lit("2024-01-31").cast("date"), 10
     )
-    top = top_per_key(ranked, ["query_id"], by_score("para_id"), 10)
     return top.select("query_id", "para_id", F.round("score", 6).alias("score"), "rank")
 
 
