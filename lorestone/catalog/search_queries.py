@@ -316,8 +316,7 @@ def tfidf_bigrams(spark, folder):
         F.col("doc_id").alias("trace_id"),
         F.concat("lang", F.lit("-"), "source", F.lit("_"), "doc_id", F.lit(".md")).alias("name"), "text",
     )
-    scores = I.tfidf_scores(traces, benchmark_queries(spark, folder))
-    top = top_per_key(scores, ["query_id"], by_score("trace_id", "kw_score"), 5)
+    top = I.tfidf_top(traces, benchmark_queries(spark, folder), 5)
     return top.select("query_id", "trace_id", F.round("kw_score", 6).alias("kw_score"), "rank")
 
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from ..functions import answers as A
 from ..functions import dates as D
@@ -13,12 +17,39 @@ from ..functions.code import code_spans
 from ..functions.common import contains_any, let, overlap, rule_chain, str_array, strip
 from ..plans.scale import best_per_key, by_score, top_per_key
 from ..session import settle
-from .index import tfidf_scores, trace_idf, unnest
+from . import tracescoring as S
+from .index import keyword_part, query_terms, tfidf_scores, trace_idf, trace_text, unnest
 from .search import entities_in_text
 
 
 def name_bonus(traces: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, trace_id, bonus): idf share of the query tokens that occur in the trace name."""
+    """(query_id, trace_id, bonus): idf share of the query tokens that occur in the trace name.
+
+    Names are searched where they lie (:mod:`.tracescoring`) if the tokens can be copied to the tasks.
+    """
+    found = S.copied(_asked_tokens(queries))
+    if found is None or not found.num_rows:
+        return joined_name_bonus(traces, queries)
+    ids = pc.unique(S.column(found, "query_id"))
+    asked = S.Asked(ids, names=_name_part(traces, found, ids))
+    return S.every_score(asked, traces.select("trace_id", "name"), "bonus", queries.schema["query_id"].dataType)
+
+
+def _asked_tokens(queries: DataFrame) -> DataFrame:
+    tokens = queries.select("query_id", F.posexplode(T.trace_tokens(F.col("query"))).alias("i", "term"))
+    return tokens.where("query_id is not null").select("query_id", "term")
+
+
+def _name_part(traces: DataFrame, found: pa.Table, ids: pa.Array) -> S.Names:
+    words = pc.unique(S.column(found, "term"))
+    n, df = S.frequencies(traces, S.Terms(words), trace_text())
+    term, query = (pc.index_in(S.column(found, c), v).to_numpy().astype(np.int64) for c, v in (("term", words), ("query_id", ids)))
+    idf = np.where(df > 0, np.log(1 + n / (1 + df)), 1.0)[term]
+    return S.Names(S.Labels(words), S.Weights(term, query, idf / np.bincount(query, idf)[query], len(words)))
+
+
+def joined_name_bonus(traces: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`name_bonus` for any number of query tokens."""
     tokens = queries.select("query_id", F.posexplode(T.trace_tokens(F.col("query"))).alias("i", "term"))
     weighted = tokens.join(trace_idf(traces, tokens.select("term").distinct()), "term", "left").select(
         "query_id", "term", F.coalesce("idf", F.lit(1.0)).alias("idf")
@@ -40,16 +71,57 @@ def graph_scores(traces: DataFrame, queries: DataFrame, entities: DataFrame, rel
     """(query_id, trace_id, graph_score): weight of relations between query and trace-name entities.
 
     A relation across both sides counts in full, one that touches an entity of both counts half;
-    the sum is divided by (largest weight x query entities) and capped at 1.
+    the sum is divided by (largest weight x query entities) and capped at 1.  Names are searched where they lie
+    (:mod:`.tracescoring`) if the relations around the queries can be copied to the tasks.
     """
-    known = entities.select("id", _spaced(F.col("id")).alias("label"))
-    in_q = entities_in_text(queries.select("query_id", _spaced(F.col("query")).alias("q")), "query_id", F.col("q"), known)
-    in_t = entities_in_text(traces.select("trace_id", _spaced(F.col("name")).alias("n")), "trace_id", F.col("n"), known)
+    part = _graph_part(queries, entities, relations)
+    if part is None:
+        return joined_graph_scores(traces, queries, entities, relations)
+    graph, ids = part
+    return S.every_score(S.Asked(ids, graph=graph), traces.select("trace_id", "name"), "graph_score", queries.schema["query_id"].dataType)
+
+
+def _relation_ends(relations: DataFrame) -> DataFrame:
     r = relations.select("source", "target", F.col("weight").cast("double").alias("w"))
-    ends = r.select("source", "target", "w", F.col("source").alias("id"), F.col("target").alias("far")).unionByName(
+    return r.select("source", "target", "w", F.col("source").alias("id"), F.col("target").alias("far")).unionByName(
         r.select("source", "target", "w", F.col("target").alias("id"), F.col("source").alias("far"))
     )
-    touched = ends.join(in_q, "id")
+
+
+def _graph_part(queries: DataFrame, entities: DataFrame, relations: DataFrame, ids: pa.Array | None = None) -> tuple[S.Graph, pa.Array] | None:
+    known = entities.select("id", _spaced(F.col("id")).alias("label"))
+    in_q = settle(entities_in_text(queries.select("query_id", _spaced(F.col("query")).alias("q")), "query_id", F.col("q"), known))
+    touched = _relation_ends(relations).join(in_q, "id")
+    share = lambda end, s: touched.select("query_id", "source", "target", "w", F.col(end).alias("end"), F.lit(s).alias("share"))
+    # only what an entity of the relations names is met, as in the joins
+    ends = share("far", 1.0).unionByName(share("id", 0.5)).join(known.where("label <> ''").select(F.col("id").alias("end"), "label"), "end").distinct()
+    found, asked = S.copied(ends), S.copied(in_q.where("query_id is not null").groupBy("query_id").agg(F.count("*").alias("n")))
+    if found is None or asked is None:
+        return None
+    ids = S.column(asked, "query_id") if ids is None else ids
+    code = lambda c, v: pc.index_in(c, v).to_numpy().astype(np.int64)
+    labels = pc.unique(S.column(found, "label"))
+    relation = pa.StructArray.from_arrays([S.column(found, c) for c in ("source", "target", "w")], names=["source", "target", "w"]).to_pylist()
+    places: dict[tuple, int] = {}
+    of = np.array([places.setdefault(tuple(r.values()), len(places)) for r in relation], np.int64)
+    weight = np.array([w for _, _, w in places])
+    known_query = pc.is_in(S.column(found, "query_id"), ids).to_numpy(zero_copy_only=False)
+    label, query, halves = code(S.column(found, "label"), labels), pc.fill_null(pc.index_in(S.column(found, "query_id"), ids), 0).to_numpy().astype(np.int64), S.column(found, "share").to_numpy()
+    order = np.argsort(label, kind="stable")
+    order = order[known_query[order]]
+    part = S.Weights(label[order], query[order], halves[order], len(labels))
+    top = relations.agg(F.max(F.col("weight").cast("double"))).first()[0] or 0.0
+    n = np.ones(len(ids))
+    n[code(S.column(asked, "query_id"), ids)] = S.column(asked, "n").to_numpy()
+    return S.Graph(S.Labels(labels), part, of[order], weight, np.maximum(n * top, 1.0)), ids
+
+
+def joined_graph_scores(traces: DataFrame, queries: DataFrame, entities: DataFrame, relations: DataFrame) -> DataFrame:
+    """:func:`graph_scores` for any number of relations around the queries."""
+    known = entities.select("id", _spaced(F.col("id")).alias("label"))
+    in_q = entities_in_text(queries.select("query_id", _spaced(F.col("query")).alias("q")), "query_id", F.col("q"), known)
+    in_t = entities_in_text(traces.select("trace_id", _spaced(F.col("name")).alias("n")), "trace_id", F.col("n"), known)
+    touched = _relation_ends(relations).join(in_q, "id")
     across = touched.join(in_t.select(F.col("id").alias("far"), "trace_id"), "far").select(
         "query_id", "trace_id", "source", "target", "w", F.lit(1.0).alias("share")
     )
@@ -78,6 +150,10 @@ def retrieve(
     for the best max(3 k, 8).  Queries whose best score stays below 0.15 are scored again with their
     stems and keep the better score.  ``traces`` has trace_id, name, text and modified.
     """
+    if similarities is None and isinstance(traces.schema["trace_id"].dataType, IntegralType):
+        best = _retrieve_in_place(traces, queries, now, k, entities, relations)
+        if best is not None:
+            return best
     w = fixed.TRACE_WEIGHTS
     base = _lexical(traces, queries)
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0))
@@ -113,6 +189,39 @@ def retrieve(
     return top_per_key(final, ["query_id"], by_score("trace_id"), k)
 
 
+def _lexical_parts(traces: DataFrame, queries: DataFrame, ids: pa.Array) -> tuple[S.Keywords, S.Names] | None:
+    terms, tokens = S.copied(query_terms(queries)), S.copied(_asked_tokens(queries))
+    if terms is None or tokens is None:
+        return None
+    return keyword_part(traces, terms, ids), _name_part(traces, tokens, ids)
+
+
+def _retrieve_in_place(
+    traces: DataFrame, queries: DataFrame, now: Column, k: int, entities: DataFrame | None, relations: DataFrame | None
+) -> DataFrame | None:
+    """:func:`retrieve` without similarities: all scores of a trace are added up where it lies, the best are cut in each task."""
+    held = S.copied(queries.where("query_id is not null").select("query_id").distinct())
+    if held is None or not held.num_rows:
+        return None
+    ids, graph = S.column(held, "query_id"), None
+    lexical = _lexical_parts(traces, queries, ids)
+    if entities is not None and relations is not None:
+        graph = _graph_part(queries, entities, relations, ids)
+    if lexical is None or (entities is not None and relations is not None and graph is None):
+        return None
+    key, tier = queries.schema["query_id"].dataType, D.trace_tier(F.col("modified"), now)
+    asked = S.Asked(ids, *lexical, graph and graph[0])
+    order = by_score("trace_id")
+    first = settle(top_per_key(S.best_traces(asked, traces, tier, D.tier_weight(tier), k, key), ["query_id"], order, k))
+    weak = settle(first.groupBy("query_id").agg(F.max("score").alias("best")).where("best < 0.15").select("query_id"))
+    stems = queries.join(weak, "query_id", "left_semi").select("query_id", T.expand_query(F.col("query")).alias("query"))
+    again = _lexical_parts(traces, stems, ids) if not weak.isEmpty() else None
+    if again is None:
+        return first
+    second = S.best_traces(asked, traces, tier, D.tier_weight(tier), k, key, S.Asked(ids, *again)).join(weak, "query_id", "left_semi")
+    return first.join(weak, "query_id", "left_anti").unionByName(top_per_key(second, ["query_id"], order, k))
+
+
 def best_paragraph_similarity(paragraph_vectors: DataFrame, query_vectors: DataFrame, per_trace: int = 10) -> DataFrame:
     """(query_id, trace_id, similarity): best cosine over the first ten paragraphs of a trace.
 
