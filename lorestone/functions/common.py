@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 
@@ -37,6 +38,42 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
 
 
+def literal_starts(pattern: str) -> list[str]:
+    """What the alternatives of a pattern begin with, up to the first sign that is no plain character."""
+    inner = re.fullmatch(r"\(\?:(.*)\)[^()]*", pattern, re.S)
+    if inner and _balanced(inner[1]):
+        pattern = inner[1]
+    parts, depth, last = [], 0, 0
+    for i, ch in enumerate(pattern):
+        depth += (ch == "(") - (ch == ")")
+        if ch == "|" and not depth:
+            parts.append(pattern[last:i])
+            last = i + 1
+    parts.append(pattern[last:])
+    # a character before ?, * or { may be absent
+    return [re.match(r"(?:[^\\()\[\].?*+{|^$](?![?*{]))*", p)[0] for p in parts]
+
+
+def _balanced(text: str) -> bool:
+    depth = 0
+    for ch in text:
+        depth += (ch == "(") - (ch == ")")
+        if depth < 0:
+            return False
+    return not depth
+
+
+def may_match(c: Column, lowered: Column, pattern: str) -> Column:
+    """Whether a text can match a case-insensitive pattern at all: a cheap test before a costly one.
+
+    Lower-casing does not turn every letter into the one it equals for the pattern, so texts with such letters pass.
+    """
+    starts = list(dict.fromkeys(literal_starts(pattern)))
+    if min(len(x) for x in starts) < 3:
+        return c.rlike("(?iUd)" + pattern)
+    return contains_any(lowered, starts) | contains_any(c, ["\u017f", "\u0131", "\u0130"])
+
+
 def rule_chain(rules: list[tuple[str, Column]], default: str) -> Column:
     """First label whose condition holds."""
     out = None
