@@ -16,6 +16,7 @@ from ..plans.scale import best_per_key, by_score, top_per_key
 from ..plans.simjoin import leaders
 from ..session import settle
 from .index import unnest
+from .scoring import mostly_shared, shared_words
 from .search import token_share_search
 
 
@@ -187,14 +188,29 @@ def graph_search(notes: DataFrame, links: DataFrame, queries: DataFrame, k: int
         dead = notes.where(F.coalesce("superseded_by", F.lit("")) != "").select("seq")
         reached = reached.where("seed").unionByName(reached.where("not seed").join(dead, "seq", "left_anti"))
     asked = queries.select("query_id", T.note_tokens(F.col("query")).alias("q"))
-    full = reached.join(searchable(notes), "seq").join(asked, "query_id")
+    # only the notes around the seeds are read as words again
+    near = notes.join(reached.select("seq").distinct(), "seq", "left_semi")
+    full = reached.join(searchable(near), "seq").join(asked, "query_id")
     share = overlap(F.col("q"), F.col("tokens")) / F.greatest(F.size("q"), F.lit(1))
     scored = full.select("query_id", "seq", "seed", (share * F.when(F.col("seed"), 1.5).otherwise(1.0)).alias("score"))
     return top_per_key(scored, ["query_id"], by_score("seq"), k)
 
 
 def fired_triggers(triggers: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, trigger_id): active triggers with more than half of their condition in the query."""
+    """(query_id, trigger_id): active triggers with more than half of their condition in the query.
+
+    Shared words are counted where the triggers lie if the words of the queries can be copied to the tasks.
+    """
+    pairs = queries.select("query_id", F.explode(T.note_tokens(F.col("query"))).alias("token"))
+    copied = shared_words(pairs)
+    if copied is None:
+        return joined_triggers(triggers, queries)
+    words = F.coalesce(T.note_tokens(F.col("condition")), F.array().cast("array<string>"))
+    return mostly_shared(copied[0], triggers.where("active"), "trigger_id", words, 0.5, queries.schema["query_id"].dataType)
+
+
+def joined_triggers(triggers: DataFrame, queries: DataFrame) -> DataFrame:
+    """:func:`fired_triggers` for any number of query words."""
     cond = triggers.where("active").select("trigger_id", T.note_tokens(F.col("condition")).alias("c")).select(
         "trigger_id", F.size("c").alias("n"), unnest("c", "token")
     )
