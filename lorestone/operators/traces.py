@@ -17,6 +17,7 @@ from ..functions.code import code_spans
 from ..functions.common import contains_any, let, overlap, rule_chain, str_array, strip
 from ..plans.scale import best_per_key, by_score, top_per_key
 from ..session import settle
+from . import localpostings as P
 from . import tracescoring as S
 from .index import keyword_part, query_terms, tfidf_scores, trace_idf, trace_text, unnest
 from .search import entities_in_text
@@ -408,7 +409,7 @@ def compiled_results(matches: DataFrame, facts: DataFrame, least: float = 8.0) -
 
 def index_facts(documents: DataFrame, paragraphs: DataFrame, built: Column, source: str) -> DataFrame:
     """The size and the time of an index as two compiled facts; ``built`` is the time as text."""
-    tokens = paragraphs.select(unnest(T.index_tokens(F.col("text")), "t")).where("t is not null").select("t").distinct()
+    tokens = paragraphs.select(F.lower("text").alias("_text")).mapInArrow(P.words, "t string").distinct()
     count = F.count("*")
     n = documents.agg(count.alias("d")).withColumns({"p": paragraphs.agg(count).scalar(), "u": tokens.agg(count).scalar()})
     comma = lambda c: F.format_number(c, 0)

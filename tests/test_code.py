@@ -110,3 +110,28 @@ def test_other_texts_fall_back_to_blocks():
         assert all(0 <= s.first < s.last <= text.count("\n") + 1 for s in spans)
         assert len(scan(text, "indent")) == text.count("\n") + 1
         list(chunks_of(text))
+
+
+def test_marks_in_a_comment_are_passed_over_to_the_end_of_the_line(monkeypatch):
+    from lorestone.functions import code as C
+
+    text = "def a(x):\n" + "    # not (a [b {c \"d 'e \\\\ here\n" * 50 + "    return '#(' + x  # (\ndef b(y):\n    return y\n# ("
+    seen = []
+
+    class Marks:
+        def __init__(self, marks):
+            self.marks = marks
+
+        def search(self, *args):
+            seen.append(args)
+            return self.marks.search(*args)
+
+        def finditer(self, *args):
+            for found in self.marks.finditer(*args):
+                seen.append(found)
+                yield found
+
+    monkeypatch.setattr(C, "_MARKS", {k: Marks(v) for k, v in C._MARKS.items()})
+    assert [(s.name, s.first, s.last) for s in C.spans_of(text)[2]] == [("a", 0, 52), ("b", 52, 54)]
+    # before, every mark of a comment was looked at
+    assert len(seen) < 150
