@@ -12,7 +12,7 @@ Counts are lossy: tokens repeated within a task are counted over all tasks.  The
 which may be any, and are kept as one byte per hash bucket.  Equal sets are folded first.
 
 Most keys occur once in the corpus.  Tasks pack their keys, sorted, into one row per hash range, and what is
-shuffled is 8 bytes a key; a range then gives only the keys that several documents have (``meetings``).  Of these
+shuffled is 9 bytes a key (13 where ids lie far apart); a range then gives only the keys that several documents have (``meetings``).  Of these
 a small block gives all its pairs.  A larger one is first compared with a few of its members, and what these
 already connect is not compared again; all pairs across components that are left are, by tiles of a block and
 their marks in arrays, and only what these leave possible becomes a row.  Pairs are first held
