@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorestone.operators import notes as N
+from lorestone.plans import growing
 from lorestone.plans.growing import grown_clusters, replay
 
 
@@ -55,3 +56,23 @@ def test_clusters_of_odd_notes(spark):
     got = {(r.seq, r.cluster, r.n) for r in N.note_clusters(df).collect()}
     assert got == {(3, 3, 3), (4, 3, 3), (5, 3, 3)}
     assert N.note_clusters(df.where(F.lit(False))).count() == 0
+
+
+def large_notes():
+    rng = random.Random(7)
+    some = {i: [f"h{rng.randint(0, 3)}", *rng.sample([f"k{w}" for w in range(1500)], rng.randint(1, 4)), f"own{i}"] for i in range(0, 4000, 2)}
+    return some | {i: ["hot", "warm", f"v{i % 300}", f"w{i % 7}"] for i in range(1, 4000, 2)}
+
+
+@pytest.mark.parametrize("copied", [growing.COPIED, 4000, 0])
+def test_a_component_above_the_limit_is_not_listed_note_by_note(spark, monkeypatch, copied):
+    """All but the notes that bring a key are placed in parallel; only without room for these the old ways are taken."""
+    notes = large_notes()
+    want = grown(notes)
+    sizes = {c: sum(v == c for v in want.values()) for c in set(want.values())}
+    df = spark.createDataFrame(list(notes.items()), "seq long, keys array<string>").repartition(4)
+    if copied == growing.COPIED:
+        monkeypatch.setattr(growing, "_rounds", None)
+        monkeypatch.setattr(growing, "_replayed", None)
+    got = {r.seq: (r.cluster, r.n) for r in grown_clusters(df, 10**6 if copied < growing.COPIED else 20, copied).collect()}
+    assert got == {s: (c, sizes[c]) for s, c in want.items() if sizes[c] > 1}
