@@ -9,7 +9,6 @@ from ..operators import context as X
 from ..operators import facts as K
 from ..operators import ledger as L
 from ..operators import metrics as M
-from ..plans.scale import growing
 from ..session import settle
 from .base import MEMO_SQL, memo, query, table
 from .fact_queries import FACTS_SQL, questions, turns, windows
@@ -515,9 +514,8 @@ def hierarchical_context(spark, folder):
 def entity_digests(spark, folder):
     facts = windows(spark, folder)
     asked = questions(spark, folder)
-    found = K.query_facts(facts, asked.where("qtype <> 'temporal-reasoning'"), 20).select("scope", "query_id", "fact_idx", "rank")
-    full = found.join(growing(facts), ["scope", "fact_idx"])
-    return X.entity_digests(full, asked).select("query_id", "entity", "entity_rank", "pos", "date", "text")
+    found = K.query_facts(facts, asked.where("qtype <> 'temporal-reasoning'"), 20, **X.statements())
+    return X.entity_digests(found, asked).select("query_id", "entity", "entity_rank", "pos", "date", "text")
 
 
 @query(

@@ -6,12 +6,13 @@ Each works on the head of a ranking, cut to its limit before anything is gathere
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import dates as D
 from ..functions import fixed
-from ..functions.common import extract_all, iso_date, strip, str_array
-from ..plans.scale import best_per_key, ranked, top_per_key
+from ..functions.common import extract_all, iso_date, let, strip, str_array
+from ..plans.scale import best_per_key, growing, ranked, top_per_key
 
 
 def rank_sessions(results: DataFrame) -> DataFrame:
@@ -143,6 +144,21 @@ def _significant(c: Column) -> Column:
     return F.array_except(tokens, str_array(fixed.SYNTHESIS_STOPWORDS))
 
 
+def statements() -> dict[str, Column]:
+    """What :func:`entity_digests` reads of a fact: text, digest of the statement, date and the entities with longer words."""
+    flat = lambda c: F.regexp_replace(strip(c), r"(?U)\s+", " ")
+    mentions = F.transform(
+        F.transform("entities", lambda name: F.lower(flat(name))),
+        lambda e, i: F.struct(i.alias("i"), e.alias("entity"), _significant(e).alias("words")),
+    )
+    return {
+        "session_idx": F.col("session_idx"), "text": flat(F.col("text")),
+        "digest": let(statement_key(F.col("text")), lambda k: F.when(k != "", F.unhex(F.md5(k)))),
+        "date": fact_date(F.col("date_mentions"), F.col("valid_from"), F.coalesce("session_date", F.lit(""))),
+        "mentions": F.filter(mentions, lambda m: F.size(m["words"]) > 0),
+    }
+
+
 def entity_digests(
     facts: DataFrame, questions: DataFrame, max_entities: int = 4, max_statements: int = 4
 ) -> DataFrame:
@@ -150,25 +166,27 @@ def entity_digests(
 
     An entity is asked for when one of its longer words is in the question; it needs two different
     statements.  Temporal questions get no digest.  ``facts`` are the retrieved facts with
-    query_id and rank.
+    query_id, rank and the columns of :func:`statements`, or those of the facts themselves.  Every step is by question, so facts
+    that are partitioned by question stay where they are.
     """
+    if "mentions" not in facts.columns:
+        facts = facts.select("query_id", "rank", *[c.alias(n) for n, c in statements().items()])
     asked = questions.where("qtype <> 'temporal-reasoning'").select("query_id", _significant(F.col("question")).alias("q"))
-    rows = facts.select(
-        "query_id", "rank", "session_idx", F.regexp_replace(strip(F.col("text")), r"(?U)\s+", " ").alias("text"),
-        statement_key(F.col("text")).alias("key"),
-        fact_date(F.col("date_mentions"), F.col("valid_from"), F.coalesce("session_date", F.lit(""))).alias("date"),
-        F.posexplode("entities").alias("i", "name"),
-    ).where("key <> ''").withColumn("entity", F.lower(F.regexp_replace(strip(F.col("name")), r"(?U)\s+", " ")))
-    grounded = rows.join(asked, "query_id").where(F.arrays_overlap(_significant(F.col("entity")), F.col("q")))
-    once = best_per_key(grounded, ["query_id", "entity", "key"], [F.asc("rank"), F.asc("i")])
+    grounded = facts.where("digest is not null").join(growing(asked), "query_id").select(
+        "query_id", "rank", "session_idx", "text", "digest", "date",
+        F.inline(F.filter("mentions", lambda m: F.arrays_overlap(m["words"], F.col("q")))),
+    )
+    once = best_per_key(grounded.drop("words"), ["query_id", "entity", "digest"], [F.asc("rank"), F.asc("i")])
     order = [F.asc(F.col("date") == ""), F.asc("date"), F.asc("session_idx"), F.asc("rank")]
-    lines = top_per_key(once, ["query_id", "entity"], order, max_statements, "pos")
-    size = lines.groupBy("query_id", "entity").agg(F.count("*").alias("n"))
-    first = grounded.groupBy("query_id", "entity").agg(F.min(F.struct("rank", "i")).alias("seen"))
-    heads = top_per_key(
-        size.where("n >= 2").join(first, ["query_id", "entity"]), ["query_id"], [F.desc("n"), F.asc("seen")], max_entities, "entity_rank"
-    ).select("query_id", "entity", "entity_rank")
-    return lines.join(heads, ["query_id", "entity"]).select("query_id", "entity", "entity_rank", "pos", "date", "text")
+    per = W.partitionBy("query_id", "entity")
+    lines = once.select(
+        "query_id", "entity", "date", "text", F.row_number().over(per.orderBy(*order)).alias("pos"),
+        F.least(F.count("*").over(per), F.lit(max_statements)).alias("n"), F.min(F.struct("rank", "i")).over(per).alias("seen"),
+    ).where((F.col("n") >= 2) & (F.col("pos") <= max_statements))
+    # no two entities of a question are first seen at one place
+    place = F.dense_rank().over(W.partitionBy("query_id").orderBy(F.desc("n"), F.asc("seen")))
+    heads = lines.withColumn("entity_rank", place).where(F.col("entity_rank") <= max_entities)
+    return heads.select("query_id", "entity", "entity_rank", "pos", "date", "text")
 
 
 TRUNCATED = "\n[... truncated to fit the reader context window ...]"
