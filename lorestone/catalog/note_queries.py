@@ -515,8 +515,9 @@ def deep_recall(spark, folder):
     asked = nation_questions(spark, folder)
     found = settle(search(memo_paragraphs(spark, folder), asked, F.lit("2024-01-31").cast("date"), k=1))
     m = memo(spark, folder)
-    rel = settle(C.relation_table(memo_pairs(spark, folder)))
-    ents = settle(C.entity_table(m.select("name", F.col("day").alias("date"), T.trace_entities(F.col("text")).alias("entities")), ["gpu", "pytorch"]))
+    graph = settle(C.counted_graph(m.select("name", F.col("day").alias("date"), "text", T.trace_entities(F.col("text")).alias("entities"))))
+    rel = settle(C.relation_table(graph))
+    ents = settle(C.entity_table(graph, ["gpu", "pytorch"]))
     memories = m.select(F.col("event_id").alias("item_id"), "text")
     out = R.deep_recall(found.select("query_id", "rank", "name", "score"), asked, memories, ents, rel, m.select("name", "text"))
     j = lambda c: F.array_join(F.col(c), "|").alias(c)

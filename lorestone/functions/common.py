@@ -38,6 +38,18 @@ def contains_any(lowered: Column, words: list[str]) -> Column:
     return reduce(lambda a, b: a | b, [lowered.contains(w) for w in words])
 
 
+def plain(c: Column) -> Column:
+    """Whether a text has ASCII characters only; patterns with and without the flag for Unicode classes are then the same."""
+    return F.length(c) == F.octet_length(c)
+
+
+def by_letters(is_plain: Column, pattern: str, found: Callable[[str], Column]) -> Column:
+    """``found(pattern)``, for plain texts without the flag, whose classes and word ends cost several times as much."""
+    flags, rest = re.fullmatch(r"(?s)\(\?([a-zA-Z]+)\)(.*)", pattern).groups()
+    low = flags.replace("U", "")
+    return F.when(is_plain, found((f"(?{low})" if low else "") + rest)).otherwise(found(pattern))
+
+
 def literal_starts(pattern: str) -> list[str]:
     """What the alternatives of a pattern begin with, up to the first sign that is no plain character."""
     inner = re.fullmatch(r"\(\?:(.*)\)[^()]*", pattern, re.S)
@@ -63,15 +75,18 @@ def _balanced(text: str) -> bool:
     return not depth
 
 
-def may_match(c: Column, lowered: Column, pattern: str) -> Column:
+def may_match(c: Column, lowered: Column, pattern: str, is_plain: Column | None = None) -> Column:
     """Whether a text can match a case-insensitive pattern at all: a cheap test before a costly one.
 
     Lower-casing does not turn every letter into the one it equals for the pattern, so texts with such letters pass.
+    ``is_plain`` tells that there are none, if it is known.
     """
     starts = list(dict.fromkeys(literal_starts(pattern)))
     if min(len(x) for x in starts) < 3:
-        return c.rlike("(?iUd)" + pattern)
-    return contains_any(lowered, starts) | contains_any(c, ["\u017f", "\u0131", "\u0130"])
+        return c.rlike("(?iUd)" + pattern) if is_plain is None else by_letters(is_plain, "(?iUd)" + pattern, c.rlike)
+    if is_plain is None:
+        return contains_any(lowered, starts) | contains_any(c, ["\u017f", "\u0131", "\u0130"])
+    return contains_any(lowered, starts) | ~is_plain
 
 
 def rule_chain(rules: list[tuple[str, Column]], default: str) -> Column:

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed
 from ..functions import text as T
-from ..functions.common import iso_date, words3
+from ..functions.common import iso_date, let, words3
 from ..plans.ordered import RANGE, in_ranges, neighbours, row_index, running_sums
 from ..plans.scale import best_per_key, by_score, top_per_key
 from ..session import settle
@@ -91,10 +91,13 @@ def memory_records(clustered: DataFrame, today: str, state: str = "active", conf
 
 
 def entity_table(traces: DataFrame, project_names: list[str] | None = None) -> DataFrame:
-    """(id, type, label, first_seen, trace_count) over traces with name, date and entities."""
-    rows = traces.select("date", F.explode(F.array_distinct("entities")).alias("id"))
+    """(id, type, label, first_seen, trace_count) over traces with name, date and entities, or over :func:`counted_graph`."""
+    if "n" in traces.columns:
+        rows, n = traces.where("target is null").select("date", F.col("source").alias("id"), "n"), F.sum("n")
+    else:
+        rows, n = traces.select("date", F.explode(F.array_distinct("entities")).alias("id")), F.count("*")
     kind = F.when(F.col("id").isin(project_names or []), "project").otherwise("concept")
-    return rows.groupBy("id").agg(F.min("date").alias("first_seen"), F.count("*").alias("trace_count")).select(
+    return rows.groupBy("id").agg(F.min("date").alias("first_seen"), n.alias("trace_count")).select(
         "id", kind.alias("type"), F.col("id").alias("label"), "first_seen", "trace_count"
     )
 
@@ -110,14 +113,41 @@ def trace_relations(traces: DataFrame) -> DataFrame:
     )
 
 
+def counted_graph(traces: DataFrame) -> DataFrame:
+    """(source, target, type, date, name, n): pairs of :func:`trace_relations` and, without target, entities, counted in one pass.
+
+    ``traces`` has name, date, text and entities, which are read once for both tables of the graph.  ``date`` and ``name`` are those of
+    the first trace, the earliest date for an entity.
+    """
+    pair = lambda p: F.struct(
+        F.least(p["source"], p["target"]).alias("source"), F.greatest(p["source"], p["target"]).alias("target"), p["relation"].alias("type")
+    )
+    none = F.lit(None).cast("string")
+    entity = lambda e: F.struct(e.alias("source"), none.alias("target"), none.alias("type"))
+
+    def both(entities: Column) -> Column:
+        pairs = F.transform(T.extract_relations(F.col("text"), entities, max_gap=None), pair)
+        return F.concat(F.transform(F.array_distinct(entities), entity), pairs)
+
+    rows = traces.select("name", "date", F.inline_outer(let(F.col("entities"), both))).where("source is not null")
+    typed = F.col("target").isNotNull()
+    return rows.groupBy("source", "target", "type").agg(
+        F.min(F.when(typed, F.struct("date", "name"))).alias("at"), F.min("date").alias("day"), F.count("*").alias("n")
+    ).select(
+        "source", "target", "type", F.when(typed, F.col("at.date")).otherwise(F.col("day")).alias("date"), F.col("at.name").alias("name"), "n"
+    )
+
+
 def relation_table(pairs: DataFrame) -> DataFrame:
     """(source, target, type, weight): weight counts traces, the first typed relation wins.
 
-    The traces behind an edge stay rows of ``pairs``; they are not gathered into an array.
+    The traces behind an edge stay rows of ``pairs``; they are not gathered into an array.  ``pairs`` may be counted ones.
     """
+    counted = "n" in pairs.columns
+    pairs = pairs.where("target is not null") if counted else pairs
     typed = F.col("type") != "co_occurs"
     return pairs.groupBy("source", "target").agg(
-        F.min(F.when(typed, F.struct("date", "name", "type"))).alias("_t"), F.count("*").alias("weight")
+        F.min(F.when(typed, F.struct("date", "name", "type"))).alias("_t"), (F.sum("n") if counted else F.count("*")).alias("weight")
     ).select("source", "target", F.coalesce(F.col("_t.type"), F.lit("co_occurs")).alias("type"), "weight")
 
 

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,8 +14,12 @@ from ..functions.common import extract_all, strip
 from ..plans.graph import both_ways
 from ..plans.ordered import row_index
 from ..plans.scale import best_per_key, ranked, top_per_key
+from ..session import settle
 from .search import entities_in_text, token_share_search
 
+#: names whose neighbours are looked for in the tasks; for more of them all names are placed
+COPIED = 4096
+
 
 def semantic_search(memories: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
     """Memory files by the share of query words they hold, with their first key point.
@@ -19,7 +27,9 @@ def semantic_search(memories: DataFrame, queries: DataFrame, k: int = 5) -> Data
     ``memories`` has item_id and text (frontmatter and body).
     """
     words = lambda c: F.array_distinct(extract_all(F.lower(c), r"(?U)\w+"))
-    found = token_share_search(memories, queries, k, tokens=words)
+    found = settle(token_share_search(memories, queries, k, tokens=words))
+    # only the memories that were found are read in full
+    memories = memories.select("item_id", "text").join(found.select("item_id").distinct(), "item_id", "left_semi")
     body = strip(F.regexp_replace("text", r"(?s)^---.*?---", ""))
     bullets = F.filter(
         F.transform(F.split(body, "\n", -1), strip), lambda s: s.startswith("- ") & (F.length(s) > 20)
@@ -58,11 +68,41 @@ def graph_edges(relations: DataFrame, entity: str = "", k: int = 10) -> DataFram
     return rows.orderBy(F.desc("weight"), "source", "target").limit(k)
 
 
-def order_neighbours(traces: DataFrame, reach: int = 3) -> DataFrame:
-    """(name, other, distance): up to three names before (negative) and after each name."""
-    placed = row_index(traces.select("name"), [], ["name"])
+def _around(traces: DataFrame, asked: list[str], reach: int) -> DataFrame:
+    """The names next to those asked for, up to ``reach`` on each side in every task, with repeats."""
+    asked = sorted(asked)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nulls, near = 0, []
+        for batch in batches:
+            names = batch.column(0)
+            nulls = min(reach, nulls + names.null_count)
+            rows = sorted(near + names.drop_null().to_pylist())
+            kept: set[int] = set()
+            for name in asked:
+                kept.update(range(max(0, bisect_left(rows, name) - reach), min(len(rows), bisect_right(rows, name) + reach)))
+            near = [rows[i] for i in sorted(kept)]
+        yield pa.RecordBatch.from_arrays([pa.array([None] * nulls + near, pa.string())], names=["name"])
+
+    return traces.select("name").mapInArrow(run, "name string")
+
+
+def order_neighbours(traces: DataFrame, reach: int = 3, asked: DataFrame | None = None) -> DataFrame:
+    """(name, other, distance): up to three names before (negative) and after each name.
+
+    With ``asked`` (name) only for these names; if they are few, no other names than those around them are placed.
+    """
+    names = traces.select("name")
+    if asked is not None:
+        asked = asked.where("name is not null").select("name").distinct()
+        few = [r.name for r in asked.limit(COPIED + 1).collect()]
+        if len(few) <= COPIED:
+            # what lies between two of these names is here, so places differ as they do among all names
+            names = settle(_around(names, few, reach))
+    placed = row_index(names, [], ["name"])
     steps = [d for d in range(-reach, reach + 1) if d]
-    wanted = placed.select(
+    own = placed if asked is None else placed.join(asked, "name", "left_semi")
+    wanted = own.select(
         "name", F.col("pos").alias("_p"), F.explode(F.array(*[F.lit(d) for d in steps])).alias("distance")
     ).select("name", "distance", (F.col("_p") + F.col("distance")).alias("pos"))
     return wanted.join(placed.select(F.col("name").alias("other"), "pos"), "pos").select("name", "other", "distance")
@@ -131,7 +171,7 @@ def deep_recall(
     lists = lambda df, item, out: df.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.struct("rank", F.col(item).cast("string").alias("v")))), lambda x: x["v"]).alias(out)
     )
-    near = order_neighbours(traces).join(best.withColumnRenamed("trace", "name"), "name")
+    near = order_neighbours(traces, asked=best.select(F.col("trace").alias("name"))).join(best.withColumnRenamed("trace", "name"), "name")
     around = near.groupBy("query_id").agg(
         F.transform(F.array_sort(F.collect_list(F.when(F.col("distance") < 0, F.struct("distance", "other")))), lambda x: x["other"]).alias("before"),
         F.transform(F.array_sort(F.collect_list(F.when(F.col("distance") > 0, F.struct("distance", "other")))), lambda x: x["other"]).alias("after"),
